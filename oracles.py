@@ -156,15 +156,12 @@ edges AS (
   SELECT user_id, career, skill, suggested, strength, total
   FROM strongest JOIN strong USING (user_id, career, suggested))"""
 
-# Texts with every piece in private-use brackets, so a phrase is a plain substring.
-_OPEN, _CLOSE, _MARK, _END = "", "", "", ""
+# Texts with every word in private-use brackets, so a phrase is a plain substring.
+_OPEN, _CLOSE, _MARK, _END = "\ue000", "\ue001", "\ue002", "\ue003"
 
 
 def _bracketed(expr: str) -> str:
-    return (
-        f"regexp_replace({expr}, '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_])', "
-        f"'{_OPEN}\\1{_CLOSE}', 'g')"
-    )
+    return f"regexp_replace({expr}, '({_WORDS})', '{_OPEN}\\1{_CLOSE}', 'g')"
 
 
 _LEXICON = f"""
@@ -186,14 +183,21 @@ def _found(source: str, keys: str, ignore: str = "") -> str:
     """CTEs ending in found(keys, skill, n) over source(keys, text)."""
     return f"""{_LEXICON},
 source AS ({source}),
-ordered AS (
-  SELECT list({_bracketed('formatted')} ORDER BY length(formatted) DESC, ord) AS phrases
-  FROM named {ignore}),
+heard AS (
+  SELECT DISTINCT {keys}, unnest(regexp_extract_all({_normal('text')}, '{_WORDS}')) AS word FROM source),
+phrase AS (
+  SELECT {_bracketed('formatted')} AS p, formatted, ord,
+    split_part(formatted, ' ', 1) AS a, split_part(formatted, ' ', -1) AS z FROM named {ignore}),
+possible AS (
+  SELECT {', '.join(f'h.{k.strip()}' for k in keys.split(','))},
+    list(p ORDER BY length(formatted) DESC, ord) AS phrases
+  FROM heard h JOIN phrase ON h.word = a JOIN heard g ON g.word = z
+    AND {' AND '.join(f'h.{k.strip()} = g.{k.strip()}' for k in keys.split(','))} GROUP BY ALL),
 settled AS (
   SELECT {keys}, list_reduce(list_prepend({_bracketed(_normal('text'))}, phrases),
     lambda t, p: CASE WHEN contains(t, p) THEN replace(t, p,
       '{_MARK}' || replace(replace(p, '{_OPEN}', ''), '{_CLOSE}', '') || '{_END}') ELSE t END) AS t
-  FROM source, ordered),
+  FROM source JOIN possible USING ({keys})),
 marks AS (
   SELECT {keys}, unnest(regexp_extract_all(t, '{_MARK}([^{_END}]*){_END}', 1)) AS formatted
   FROM settled),
@@ -246,6 +250,40 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos,
 FROM href"""
 
 
+_BAG = """
+bags AS (
+  SELECT {keys}, list_sort(flatten(list(list_transform(range(n), lambda i: skill)))) AS s
+  FROM found GROUP BY ALL)"""
+
+
+def _crawled() -> str:
+    source = f"SELECT page_id, {_visible('html')} AS text FROM pages"
+    return f"""WITH {_found(source, 'page_id')},{_BAG.format(keys='page_id')}
+SELECT regexp_replace(url, '^https?://[^/]+', '') AS unique_url,
+  regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS career,
+  make_timestamp(page_id * 1000000) AS searched_at, CAST(len(s) AS INTEGER) AS n_skills,
+  array_to_string(s, '|') AS skills
+FROM bags JOIN pages USING (page_id)
+QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '^https?://[^/]+', '')
+  ORDER BY page_id) = 1"""
+
+
+_COUNTERS = f"""WITH said AS (
+  SELECT conv_id, turn, CASE role WHEN 'user' THEN 'add_skill' ELSE 'remove_skill' END AS action,
+    regexp_extract_all(text, '{_WORDS}') AS w FROM conversations
+  WHERE role IN ('user', 'assistant')),
+one AS (
+  SELECT conv_id, turn, action, w[i] AS spelling, i AS pos
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM said)),
+spelled AS (
+  SELECT action, {_strip(_normal('spelling'))} AS formatted, spelling, count(*) AS n,
+    max((conv_id, turn, pos)) AS latest FROM one GROUP BY ALL)
+SELECT action, formatted, lower(arg_max(spelling, latest)) AS skill,
+  string_agg(spelling || ':' || n, ',' ORDER BY spelling) AS spellings,
+  CAST(sum(n) AS BIGINT) AS n
+FROM spelled GROUP BY action, formatted"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "suggest_careers": f"WITH {_CAREER_MODEL} SELECT user_id, career, sim, rank FROM suggested",
@@ -345,20 +383,20 @@ def oracle_sql() -> dict[str, str]:
         "user_skills_state": _STATE,
         "merged_user_skills": f"""WITH {_found(_CHATS, 'conv_id, turn', _RESUME_STOP)}
             SELECT user_id, skill FROM ({_STATE}) UNION SELECT conv_id, skill FROM found""",
-        "feedback_counts": f"""WITH said AS (
-              SELECT conv_id, turn, CASE role WHEN 'user' THEN 'add_skill' ELSE 'remove_skill' END AS action,
-                regexp_extract_all(text, '{_WORDS}') AS w FROM conversations
-              WHERE role IN ('user', 'assistant')),
-            one AS (
-              SELECT conv_id, turn, action, w[i] AS spelling, i AS pos
-              FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM said)),
-            spelled AS (
-              SELECT action, {_strip(_normal('spelling'))} AS formatted, spelling, count(*) AS n,
-                max((conv_id, turn, pos)) AS latest FROM one GROUP BY ALL)
-            SELECT action, formatted, lower(arg_max(spelling, latest)) AS skill,
-              string_agg(spelling || ':' || n, ',' ORDER BY spelling) AS spellings,
-              CAST(sum(n) AS BIGINT) AS n
-            FROM spelled GROUP BY action, formatted""",
+        "feedback_counts": _COUNTERS,
+        "stream_feedback": _COUNTERS,
+        "merged_feedback": _COUNTERS,
+        "ingest_pages": _crawled(),
+        "stream_ingest": _crawled(),
+        "reextracted_listings": f"""WITH {_found('SELECT doc_id, text FROM documents', 'doc_id')},
+            {_BAG.format(keys='doc_id')}
+            SELECT source AS career, CAST(doc_id AS VARCHAR) AS unique_url,
+              CAST(len(s) AS INTEGER) AS n_skills, sha256(array_to_string(s, '|')) AS skills_sha
+            FROM bags JOIN documents USING (doc_id)""",
+        "latest_suggestions": f"""WITH {_SUGGESTIONS}
+            SELECT user_id, career, suggested, row_number() OVER (PARTITION BY user_id, career
+              ORDER BY complexity DESC, confidence DESC, suggested DESC, used DESC) AS rank
+            FROM tips QUALIFY rank <= 5""",
         "career_feedback": f"WITH {_PART_CAREERS} SELECT career, n FROM counters",
         "promote_careers": f"""WITH {_PART_CAREERS}
             SELECT career, n FROM counters WHERE n >= 3 AND career NOT IN (

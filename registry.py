@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ import standins as S
 from skilltrail.functions import text as X
 from skilltrail.operators import careers, extract, feedback, listings, lookup, rules, suggest
 from skilltrail.operators.weights import pair_counts
-from skilltrail.session import tune
+from skilltrail.plans import jobs
+from skilltrail.session import ensure_checkpoint_dir, tune
 from skilltrail.sources import pages as page_source
 from skilltrail.sources import tables
+from skilltrail.streaming import flows
 
 MIN_SUGGESTED = 3
 
@@ -286,6 +289,74 @@ def url_extension(spark, d):
     )
 
 
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ingest_pages(spark, d):
+    """Listing table after the crawl of all pages, one row per URL."""
+    path = _scratch(spark, "listings")
+    crawl = S.crawl_pages(S.pages(spark, d))
+    jobs.ingest_pages(crawl, S.passage_lexicon(spark, d), path)
+    return _stored(spark, path)
+
+
+def _stored(spark, path):
+    return tables.read_listings(spark, path).select(
+        "unique_url", "career", "searched_at", F.size("skills").alias("n_skills"),
+        _joined("skills", "|").alias("skills"),
+    )
+
+
+def reextracted_listings(spark, d):
+    """Documents as stored listings whose skills are found anew."""
+    stored = S.texts_with_source(spark, d).select(
+        F.col("source").alias("career"),
+        F.col("doc_id").cast("string").alias("unique_url"),
+        F.col("text").alias("listing_text"),
+        *[F.lit(None).cast(t).alias(c) for c, t in
+          (("searched_at", "timestamp"), ("title", "string"), ("location", "string"))],
+        F.array().cast("array<string>").alias("skills"),
+    )
+    return jobs.reextract(stored, S.passage_lexicon(spark, d)).select(
+        "career", "unique_url", F.size("skills").alias("n_skills"),
+        F.sha2(_joined("skills", "|"), 256).alias("skills_sha"),
+    )
+
+
+def stream_ingest(spark, d):
+    path = _scratch(spark, "stream-listings")
+    flows.ingest_stream(
+        S.crawl_pages(S.stream_of(spark, d, "pages")), S.passage_lexicon(spark, d), path,
+        _scratch(spark, "stream-state"),
+    ).awaitTermination()
+    return _stored(spark, path)
+
+
+def stream_feedback(spark, d):
+    path = _scratch(spark, "stream-counts")
+    flows.feedback_stream(
+        S.chat_words(S.stream_of(spark, d, "conversations")), path,
+        _scratch(spark, "stream-state"),
+    ).awaitTermination()
+    return _spelled(flows.read_feedback(spark, path))
+
+
+def merged_feedback(spark, d):
+    """Counters of added skills first, then the other suggestions folded into them."""
+    words = S.chat_feedback(spark, d)
+    first, second = words.where("action = 'add_skill'"), words.where("action <> 'add_skill'")
+    skills, counts = jobs.fold_feedback(first)
+    return _spelled(jobs.fold_feedback(second, skills, counts)[0])
+
+
+def latest_suggestions(spark, d):
+    """First five suggestions per user and career, as a career page lists them."""
+    return suggest.ordered_suggestions(_suggestions(spark, d), 5).select(
+        "user_id", "career", "suggested", "rank"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -324,6 +395,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         known_requests,
         unknown_requests,
         url_extension,
+        ingest_pages,
+        reextracted_listings,
+        stream_ingest,
+        stream_feedback,
+        merged_feedback,
+        latest_suggestions,
     )
 }
 

@@ -9,10 +9,14 @@ career, so no career is mined deeper than its own final support.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_counted
 
 # Fixed values of the method.
 ENOUGH_ITEMSETS = 300
@@ -67,39 +71,35 @@ def _halvings_needed(n: Column, freq: Column) -> Column:
     )
 
 
-def _ladder(itemsets: DataFrame, careers: DataFrame) -> DataFrame:
-    """Per career and halving from `low` to `high`: itemsets frequent at it."""
+def _first_reaching(itemsets: DataFrame, careers: DataFrame, need: int) -> DataFrame:
+    """Rows `(career, first)`: the first halving from `low` on with `need` frequent itemsets."""
     per_step = (
-        itemsets.join(careers.select("career", "n"), "career")
-        .withColumn("step", _halvings_needed(F.col("n"), F.col("freq")))
-        .groupBy("career", "step")
+        itemsets.join(careers.select("career", "n", "low"), "career")
+        .groupBy(
+            "career",
+            F.greatest("low", _halvings_needed(F.col("n"), F.col("freq"))).alias("halvings"),
+        )
         .agg(F.count("*").alias("m"))
     )
-    steps = careers.select(
-        "career", "n", "last", F.explode(F.sequence("low", "high")).alias("halvings")
+    # At most one row per halving, so these groups have some sixty rows.
+    so_far = F.sum("m").over(
+        W.partitionBy("career").orderBy("halvings").rowsBetween(W.unboundedPreceding, 0)
     )
     return (
-        steps.join(per_step, "career", "left")
-        .groupBy("career", "n", "last", "halvings")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("step") <= F.col("halvings"), F.col("m"))), F.lit(0))
-            .alias("m")
-        )
+        per_step.withColumn("m", so_far)
+        .where(F.col("m") >= need)
+        .groupBy("career")
+        .agg(F.min("halvings").alias("first"))
     )
 
 
 def _tighten(itemsets: DataFrame, careers: DataFrame, enough: int) -> DataFrame:
     """Lower `high` to the first halving that already has enough itemsets."""
-    first = (
-        _ladder(itemsets, careers)
-        .where(F.col("m") >= enough)
-        .groupBy("career")
-        .agg(F.min("halvings").alias("first"))
-    )
     return (
-        careers.join(first, "career", "left")
-        .withColumn("done", F.col("first").isNotNull())
-        .withColumn("high", F.coalesce("first", "high"))
+        careers.join(_first_reaching(itemsets, careers, enough), "career", "left")
+        .withColumn("done", F.col("first") <= F.col("high"))
+        .withColumn("done", F.coalesce("done", F.lit(False)))
+        .withColumn("high", F.when(F.col("done"), F.col("first")).otherwise(F.col("high")))
         .drop("first")
     )
 
@@ -109,6 +109,24 @@ def _frequent(counts: DataFrame, careers: DataFrame) -> DataFrame:
     return counts.join(floor, "career").where(F.col("freq") >= F.col("floor")).drop("floor")
 
 
+def _union(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _frequent_only(sets: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Sets cut down to frequent items; those that became equal are counted together."""
+    allowed = levels[0].groupBy("career").agg(
+        F.collect_list(F.col("itemset")[0]).alias("allowed")
+    )
+    return (
+        sets.join(allowed, "career")
+        .select("career", F.array_intersect("items", "allowed").alias("items"), "w")
+        .where(F.size("items") > len(levels))
+        .groupBy("career", "items")
+        .agg(F.sum("w").alias("w"))
+    )
+
+
 def _grow(sets: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Candidate itemsets one item longer than the last level, with counts.
 
@@ -158,78 +176,40 @@ def frequent_itemsets(
         .agg(F.sum("w").alias("freq"))
     )
     last = F.greatest(F.lit(1), F.ceil(F.log2("n")).cast("int"))
-    careers = sizes.withColumn("last", last).withColumn("low", F.lit(1)).withColumn("high", last)
+    careers = cut(sizes.withColumn("last", last).withColumn("low", F.lit(1)))
     # First halving at which the frequent items could have enough subsets at all.
-    could = (
-        _ladder(items, careers)
-        .where(F.pow(F.lit(2.0), F.least("m", F.lit(62))) - 1 >= enough)
-        .groupBy("career")
-        .agg(F.min("halvings").alias("could"))
-    )
-    waiting = cut(
-        careers.join(could, "career", "left")
-        .withColumn("low", F.coalesce("could", "last"))
-        .drop("could")
+    could = _first_reaching(items, careers, math.ceil(math.log2(enough + 1)))
+    waiting = careers.join(could, "career", "left").select(
+        "career", "n", "last", F.coalesce("first", "last").alias("low")
     )
-    results = []
+    mined = None
     while True:
         # Each pass mines the careers still short of itemsets, a few halvings further.
-        active = cut(
-            _tighten(
-                items,
-                waiting.withColumn(
-                    "high", F.least(F.col("last"), F.col("low") + F.lit(_LOOK_AHEAD))
-                ),
-                enough,
-            )
+        start = waiting.withColumn(
+            "high", F.least(F.col("last"), F.col("low") + F.lit(_LOOK_AHEAD))
         )
-        if active.isEmpty():
-            break
-        levels = [_frequent(items, active)]
+        levels = [items]
+        # The careers table is small and read many times over: written, plans stay short.
+        active = cut(_tighten(items, start, enough))
         while max_size is None or len(levels) < max_size:
-            allowed = levels[0].groupBy("career").agg(
-                F.collect_list(F.col("itemset")[0]).alias("allowed")
-            )
-            cut_sets = (
-                sets.join(allowed, "career")
-                .select("career", F.array_intersect("items", "allowed").alias("items"), "w")
-                .where(F.size("items") > len(levels))
-                .groupBy("career", "items")
-                .agg(F.sum("w").alias("w"))
-            )
-            level = cut(_frequent(_grow(cut_sets, levels), active))
-            if level.isEmpty():
+            kept = [_frequent(one, active) for one in levels]
+            level, rows = cut_counted(_frequent(_grow(_frequent_only(sets, kept), kept), active))
+            if rows == 0:
                 break
             levels.append(level)
-            found = levels[0]
-            for other in levels[1:]:
-                found = found.unionByName(other)
-            active = cut(_tighten(found, active.drop("done"), enough))
-            levels = [_frequent(one, active) for one in levels]
-        found = levels[0]
-        for other in levels[1:]:
-            found = found.unionByName(other)
+            active = cut(_tighten(_union(levels), start, enough))
         ended = active.where(F.col("done") | (F.col("high") >= F.col("last")))
-        results.append(
-            cut(
-                found.join(
-                    ended.select("career", "n", F.col("high").alias("halvings")), "career"
-                )
-            )
+        found = _frequent(_union(levels), ended).join(
+            ended.select("career", "n", F.col("high").alias("halvings")), "career"
         )
-        waiting = cut(
+        mined = found if mined is None else mined.unionByName(found)
+        waiting, rows = cut_counted(
             active.where(~F.col("done") & (F.col("high") < F.col("last"))).select(
-                "career", "n", "last", (F.col("high") + 1).alias("low"), F.col("last").alias("high")
+                "career", "n", "last", (F.col("high") + 1).alias("low")
             )
         )
-        if waiting.isEmpty():
-            break
-    if not results:
-        return items.join(careers.select("career", "n", F.col("high").alias("halvings")), "career").limit(0)
-    mined = results[0]
-    for other in results[1:]:
-        mined = mined.unionByName(other)
-    return mined
+        if rows == 0:
+            return mined
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings the operators are planned for. A hot career, skill or URL is
 # split by AQE even where that costs one more exchange.
@@ -70,6 +71,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, with the number of rows counted while writing."""
+    counter = Observation()
+    table = cut(df.observe(counter, F.count(F.lit(1)).alias("rows")))
+    return table, counter.get["rows"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of fewer files than cores; larger inputs stay unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -126,19 +126,7 @@ def page_arrivals(frame: DataFrame) -> DataFrame:
 
 
 def chat_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    action = (
-        F.when(F.col("role") == "user", "add_skill")
-        .when(F.col("role") == "assistant", "remove_skill")
-        .otherwise("add_career")
-    )
-    words = F.regexp_extract_all("text", F.lit(f"([{WORD_CLASS}]+)"), 1)
-    said = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", action.alias("action"), F.posexplode(words).alias("pos", "suggestion")
-    )
-    moment: Column = F.timestamp_seconds(
-        F.col("conv_id") * 10_000_000 + F.col("turn") * 100_000 + F.col("pos")
-    )
-    return said.select("action", "suggestion", moment.alias("ts"))
+    return chat_words(table(spark, sf_dir, "conversations"))
 
 
 def part_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,4 +151,44 @@ def skill_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("source", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def crawl_pages(frame: DataFrame) -> DataFrame:
+    """Pages as saved listings: career = language in the URL, crawled in page order."""
+    return frame.select(
+        "page_id",
+        F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("career"),
+        F.timestamp_seconds("page_id").alias("searched_at"),
+        F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"),
+        F.lit("").alias("location"),
+        url_key(F.col("url")).alias("unique_url"),
+        "html",
+    )
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .parquet(sf_dir)
+    )
+
+
+def chat_words(chats: DataFrame) -> DataFrame:
+    """Chat rows as suggestions `(action, suggestion, ts)`: one per word."""
+    action = (
+        F.when(F.col("role") == "user", "add_skill")
+        .when(F.col("role") == "assistant", "remove_skill")
+        .otherwise("add_career")
+    )
+    words = F.regexp_extract_all("text", F.lit(f"([{WORD_CLASS}]+)"), 1)
+    said = chats.select(
+        "conv_id", "turn", action.alias("action"), F.posexplode_outer(words).alias("pos", "suggestion")
+    ).where(F.col("suggestion").isNotNull())
+    moment: Column = F.timestamp_seconds(
+        F.col("conv_id") * 10_000_000 + F.col("turn") * 100_000 + F.col("pos")
+    )
+    return said.select("action", "suggestion", moment.alias("ts"))
