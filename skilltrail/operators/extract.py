@@ -1,9 +1,9 @@
 """Longest-phrase-first extraction of dictionary skills from whole texts.
 
-A text is cut into pieces (runs of word characters, single other characters), every
-piece n-gram of a length the dictionary knows is looked up by an equi-join, and the
-overlaps among the hits of one text are settled longest phrase first. Only hits are
-shuffled, once, by text key.
+A text is cut into pieces (runs of word characters, single other characters), piece
+n-grams are looked up in the dictionary by equi-joins, and the overlaps among the hits
+of one text are settled longest phrase first. With a dictionary that can be broadcast
+only hits are shuffled, once, by text key.
 
 Boundaries are those of the given text: settling a phrase does not move the word
 boundaries of its neighbours.
@@ -16,11 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import RESUME_HEADINGS, WORD_CLASS, format_skill, normalise
-from ..sizes import broadcast_if_small
+from ..session import cut
+from ..sizes import BROADCAST_BYTES, measured_bytes
 
 _PIECE = f"([{WORD_CLASS}]+|[^{WORD_CLASS}])"
 
 
+_HIT = ["n", "length", "ord", "skill", "symbol_first", "symbol_last"]
+
+
 def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_PIECE), 1)
 
@@ -44,33 +48,71 @@ def _phrases(lexicon: DataFrame, ignore) -> DataFrame:
     known = display_names(lexicon)
     if ignore:
         known = known.where(~F.col("formatted").isin(*ignore))
-    cut = _pieces(F.col("formatted"))
+    parts = _pieces(F.col("formatted"))
     return known.select(
         F.col("formatted").alias("phrase"),
         "skill",
         "ord",
         F.length("formatted").alias("length"),
-        F.size(cut).alias("n"),
+        F.size(parts).alias("n"),
+        parts[0].alias("head"),
         (~F.col("formatted").rlike(f"^[{WORD_CLASS}]")).alias("symbol_first"),
         (~F.col("formatted").rlike(f"[{WORD_CLASS}]$")).alias("symbol_last"),
     )
 
 
-def _ngrams(texts: DataFrame, key: list[str], text: str, phrases: DataFrame) -> DataFrame:
+def _hits_in_place(texts: DataFrame, key: list[str], phrases: DataFrame) -> DataFrame:
+    """Dictionary hits with a dictionary small enough to broadcast.
+
+    A piece is looked up first; only where phrases begin with it, and only in their
+    lengths, are n-grams built. Both joins and both explodes run in one generated loop
+    over a text, so its pieces are never copied.
+    """
+    heads = phrases.groupBy("head").agg(F.collect_set("n").alias("lengths"))
+    # The outer form keeps the optimizer from cutting every text twice for a size filter.
+    at = texts.select(*key, "p", F.posexplode_outer("p").alias("i", "head"))
+    sized = at.join(F.broadcast(heads), "head").select(
+        *key, "p", "i", "head", F.explode("lengths").alias("n_pieces")
+    )
+    gram = F.when(F.col("n_pieces") == 1, F.col("head")).otherwise(
+        F.array_join(F.slice("p", F.col("i") + 1, F.col("n_pieces")), "")
+    )
+    return (
+        sized.withColumn("phrase", F.coalesce(gram, F.lit("")))
+        .join(F.broadcast(phrases.drop("head")), "phrase")
+        .where(F.col("n") == F.col("n_pieces"))
+        .select(
+            *key,
+            (F.col("i") + 1).alias("start"),
+            F.get("p", F.col("i") - 1).alias("before"),
+            F.get("p", F.col("i") + F.col("n")).alias("after"),
+            *_HIT,
+        )
+    )
+
+
+def _hits_shuffled(texts: DataFrame, key: list[str], phrases: DataFrame) -> DataFrame:
+    """The same for any dictionary size: n-grams and phrases are shuffled together."""
     lengths = phrases.agg(F.collect_set("n").alias("lengths")).scalar()
-    cut = texts.select(*key, _pieces(normalise(F.col(text))).alias("p"))
-    sized = cut.select(*key, "p", F.explode(lengths).alias("n")).where(F.size("p") >= F.col("n"))
-    starts = F.sequence(F.lit(1), F.size("p") - F.col("n") + 1)
+    sized = texts.select(*key, "p", F.explode(lengths).alias("n_pieces")).where(
+        F.size("p") >= F.col("n_pieces")
+    )
+    starts = F.sequence(F.lit(1), F.size("p") - F.col("n_pieces") + 1)
     grams = F.transform(
         starts,
         lambda i: F.struct(
             i.alias("start"),
-            F.array_join(F.slice(F.col("p"), i, F.col("n")), "").alias("phrase"),
+            F.array_join(F.slice(F.col("p"), i, F.col("n_pieces")), "").alias("phrase"),
             F.get(F.col("p"), i - 2).alias("before"),
-            F.get(F.col("p"), i - 1 + F.col("n")).alias("after"),
+            F.get(F.col("p"), i - 1 + F.col("n_pieces")).alias("after"),
         ),
     )
-    return sized.select(*key, F.inline(grams)).where(~F.col("phrase").startswith(" "))
+    return (
+        sized.select(*key, F.inline_outer(grams))
+        .where(~F.col("phrase").startswith(" "))
+        .join(phrases.drop("head"), "phrase")
+        .select(*key, "start", "before", "after", *_HIT)
+    )
 
 
 def _settle(hits: Column) -> Column:
@@ -98,11 +140,12 @@ def match_skills(
 
     `key` must identify a text. Texts without any skill have no row.
     """
-    phrases = broadcast_if_small(_phrases(lexicon, list(ignore)))
+    phrases = cut(_phrases(lexicon, list(ignore)))
+    pieces = texts.select(*key, _pieces(normalise(F.col(text))).alias("p"))
+    small = measured_bytes(phrases) <= BROADCAST_BYTES
     word = f"[{WORD_CLASS}]$"
     hits = (
-        _ngrams(texts, key, text, phrases)
-        .join(phrases, "phrase")
+        (_hits_in_place if small else _hits_shuffled)(pieces, key, phrases)
         .where(~F.col("symbol_first") | F.coalesce(F.col("before").rlike(word), F.lit(False)))
         .where(~F.col("symbol_last") | F.coalesce(F.col("after").rlike(word), F.lit(False)))
         .select(*key, "start", "n", "length", "ord", "skill")

@@ -37,20 +37,13 @@ def transactions(listings: DataFrame, lexicon: DataFrame | None = None) -> DataF
     grouped = sets.groupBy("career", "items").agg(F.count("*").alias("w"))
     if lexicon is None:
         return grouped
-    known = lexicon.select(F.lower("skill").alias("item")).distinct()
-    marked = grouped.withColumn("set_id", F.sha2(F.to_json(F.struct("career", "items")), 256))
-    kept = (
-        marked.select("career", "set_id", "w", F.explode("items").alias("item"))
-        .join(known, "item", "left_semi")
-        .groupBy("career", "set_id", "w")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-    )
-    bare = marked.join(kept.select("set_id"), "set_id", "left_anti").select(
-        "career", F.array().cast("array<string>").alias("items"), "w"
-    )
+    known = lexicon.select(F.lower("skill").alias("item")).distinct().withColumn("known", F.lit(True))
     return (
-        kept.select("career", "items", "w")
-        .unionByName(bare)
+        grouped.withColumn("set_id", F.sha2(F.to_json(F.struct("career", "items")), 256))
+        .select("career", "set_id", "w", F.explode_outer("items").alias("item"))
+        .join(known, "item", "left")
+        .groupBy("career", "set_id", "w")
+        .agg(F.array_sort(F.collect_list(F.when(F.col("known"), F.col("item")))).alias("items"))
         .groupBy("career", "items")
         .agg(F.sum("w").alias("w"))
     )
@@ -138,20 +131,17 @@ def _grow(sets: DataFrame, levels: list[DataFrame]) -> DataFrame:
         F.col("items").alias("rest"),
     )
     for size in range(1, len(levels) + 2):
-        follow = F.transform(
-            "rest",
-            lambda item, i: F.struct(
-                F.concat("itemset", F.array(item)).alias("itemset"),
-                F.slice("rest", i + 2, F.size("rest")).alias("rest"),
-            ),
+        grown = grown.select(
+            "career", "w", "itemset", "rest", F.posexplode("rest").alias("i", "item")
+        ).select(
+            "career",
+            "w",
+            F.concat("itemset", F.array("item")).alias("itemset"),
+            F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"),
         )
-        grown = grown.select("career", "w", F.inline(follow))
-        if size <= len(levels):
-            # Nothing can follow an exhausted set, so those rows end here.
-            grown = grown.where(F.size("rest") > 0)
-            if size > 1:
-                known = levels[size - 1].select("career", "itemset")
-                grown = grown.join(known, ["career", "itemset"], "left_semi")
+        if 1 < size <= len(levels):
+            known = levels[size - 1].select("career", "itemset")
+            grown = grown.join(known, ["career", "itemset"], "left_semi")
     return grown.groupBy("career", "itemset").agg(F.sum("w").alias("freq"))
 
 

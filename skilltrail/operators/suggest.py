@@ -33,14 +33,13 @@ def skill_subsets(users: DataFrame, size: int, user: str = "user_id") -> DataFra
     )
     grown = skills.withColumn("subset", F.array().cast("array<string>"))
     for _ in range(size):
-        follow = F.transform(
-            "rest",
-            lambda skill, i: F.struct(
-                F.concat("subset", F.array(skill)).alias("subset"),
-                F.slice("rest", i + 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"),
-            ),
+        grown = grown.select(
+            user, "subset", "rest", F.posexplode("rest").alias("i", "skill")
+        ).select(
+            user,
+            F.concat("subset", F.array("skill")).alias("subset"),
+            F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"),
         )
-        grown = grown.select(user, F.inline(follow))
     return grown.select(user, "subset")
 
 
