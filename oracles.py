@@ -341,7 +341,7 @@ def oracle_sql() -> dict[str, str]:
               JOIN (SELECT user_id, career, count(DISTINCT skill) AS n_used FROM edges GROUP BY ALL)
               USING (user_id, career) GROUP BY ALL),
             scored AS (SELECT *, total * 5 / n_used + 0.75 AS score FROM plan)
-            SELECT user_id, career, suggested, round(total, 6) AS strength, n_used,
+            SELECT user_id, career, suggested, round(total, 6) AS strength, CAST(n_used AS INTEGER) AS n_used,
               round(score, 6) AS score,
               CASE WHEN score >= 4 THEN 'Very Strong' WHEN score >= 3 THEN 'Strong'
                 WHEN score >= 2 THEN 'Medium' WHEN score >= 1 THEN 'Weak' ELSE '' END AS tier,

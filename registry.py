@@ -13,7 +13,7 @@ from skilltrail.functions import text as X
 from skilltrail.operators import careers, extract, feedback, listings, lookup, rules, suggest
 from skilltrail.operators.weights import pair_counts
 from skilltrail.plans import jobs
-from skilltrail.session import ensure_checkpoint_dir, tune
+from skilltrail.session import cut, ensure_checkpoint_dir, tune
 from skilltrail.sources import pages as page_source
 from skilltrail.sources import tables
 from skilltrail.streaming import flows
@@ -66,7 +66,7 @@ def jaccard_listings(spark, d):
 
 
 def _mined(spark, d):
-    orders = S.order_listings(spark, d)
+    orders = cut(S.order_listings(spark, d))
     return orders, rules.frequent_itemsets(orders, S.brand_lexicon(spark, d))
 
 

@@ -100,7 +100,7 @@ def ordered_suggestions(
 def plan_edges(
     suggestions: DataFrame, min_strength: float = MIN_STRENGTH, user: str = "user_id"
 ) -> DataFrame:
-    """Edges `(user, career, skill, suggested, strength, total, width)` of the plan.
+    """Edges `(user, career, skill, suggested, strength, total, n_used, width)` of the plan.
 
     An edge is as strong as the best rule that uses the skill; a suggestion is as
     strong as its edges together and stays when that reaches `min_strength`.
@@ -115,7 +115,7 @@ def plan_edges(
         "total", F.sum("strength").over(W.partitionBy(*group, "suggested"))
     ).where(F.round("total", 9) >= min_strength)
     page = W.partitionBy(*group)
-    return kept.withColumn(
+    return kept.withColumn("n_used", F.size(F.collect_set("skill").over(page))).withColumn(
         "width",
         edge_width(
             F.col("strength"), F.min("strength").over(page), F.max("strength").over(page)
@@ -126,13 +126,11 @@ def plan_edges(
 def learning_plan(edges: DataFrame, user: str = "user_id") -> DataFrame:
     """Rows `(user, career, suggested, strength, n_used, score, tier, rank)`, strongest first."""
     group = [user, "career"]
-    used = edges.groupBy(*group).agg(F.countDistinct("skill").alias("n_used"))
     order = W.partitionBy(*group).orderBy(F.desc(F.round("strength", 9)), "suggested")
     score = bar_score(F.col("strength"), F.col("n_used"))
     return (
         edges.groupBy(*group, "suggested")
-        .agg(F.sum("strength").alias("strength"))
-        .join(used, group)
+        .agg(F.sum("strength").alias("strength"), F.max("n_used").alias("n_used"))
         .withColumn("score", score)
         .withColumn("tier", strength_tier(F.col("score")))
         .withColumn("rank", F.row_number().over(order))
