@@ -287,6 +287,15 @@ FROM spelled GROUP BY action, formatted"""
 def oracle_sql() -> dict[str, str]:
     return {
         "suggest_careers": f"WITH {_CAREER_MODEL} SELECT user_id, career, sim, rank FROM suggested",
+        "saved_model_careers": f"WITH {_CAREER_MODEL} SELECT user_id, career, sim, rank FROM suggested",
+        "rule_upsert": f"""WITH {_RULES}
+            SELECT career || '+' || suggested || '["' || array_to_string(antecedent, '","') || '"]' AS rule_id,
+              CASE WHEN confidence >= 0.15 THEN round(confidence, 6) ELSE 0.0 END AS confidence
+            FROM rules""",
+        "locations": """SELECT c_custkey,
+              regexp_replace(n_name || ', ' || c_mktsegment, '[0-9]', '', 'g') AS location,
+              'http://jobs.example.com/' || c_name AS link
+            FROM customer JOIN nation ON c_nationkey = n_nationkey""",
         "career_terms": f"WITH {_CAREER_MODEL} SELECT career, skill, tf FROM ct",
         "skill_idf": f"WITH {_CAREER_MODEL} SELECT skill, df, round(idf, 6) AS idf FROM idf",
         "career_vectors": f"WITH {_CAREER_MODEL} SELECT career, skill, round(w, 6) AS weight FROM cv",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from skilltrail.functions import text as X
 from skilltrail.operators import careers, extract, feedback, listings, lookup, rules, suggest
 from skilltrail.operators.weights import pair_counts
 from skilltrail.plans import jobs
-from skilltrail.session import cut, ensure_checkpoint_dir, tune
+from skilltrail.session import cut, scratch_path, tune
 from skilltrail.sources import pages as page_source
 from skilltrail.sources import tables
 from skilltrail.streaming import flows
@@ -289,13 +288,9 @@ def url_extension(spark, d):
     )
 
 
-def _scratch(spark, name):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def ingest_pages(spark, d):
     """Listing table after the crawl of all pages, one row per URL."""
-    path = _scratch(spark, "listings")
+    path = scratch_path(spark, "listings")
     crawl = S.crawl_pages(S.pages(spark, d))
     jobs.ingest_pages(crawl, S.passage_lexicon(spark, d), path)
     return _stored(spark, path)
@@ -325,19 +320,19 @@ def reextracted_listings(spark, d):
 
 
 def stream_ingest(spark, d):
-    path = _scratch(spark, "stream-listings")
+    path = scratch_path(spark, "stream-listings")
     flows.ingest_stream(
         S.crawl_pages(S.stream_of(spark, d, "pages")), S.passage_lexicon(spark, d), path,
-        _scratch(spark, "stream-state"),
+        scratch_path(spark, "stream-state"),
     ).awaitTermination()
     return _stored(spark, path)
 
 
 def stream_feedback(spark, d):
-    path = _scratch(spark, "stream-counts")
+    path = scratch_path(spark, "stream-counts")
     flows.feedback_stream(
         S.chat_words(S.stream_of(spark, d, "conversations")), path,
-        _scratch(spark, "stream-state"),
+        scratch_path(spark, "stream-state"),
     ).awaitTermination()
     return _spelled(flows.read_feedback(spark, path))
 
@@ -357,6 +352,40 @@ def latest_suggestions(spark, d):
     )
 
 
+def saved_model_careers(spark, d):
+    """Career suggestions from a model written and read back."""
+    path = scratch_path(spark, "model")
+    _model(spark, d).save(path)
+    ranked = careers.suggest_careers(
+        S.passage_users(spark, d), careers.CareerModel.load(spark, path)
+    )
+    return ranked.select("user_id", "career", "sim", "rank")
+
+
+def rule_upsert(spark, d):
+    """Confident rules of a new run over doubtful ones of an old run, marked by 0."""
+    table = cut(rules.association_rules(_mined(spark, d)[1]))
+    old = table.where("confidence < 0.2").withColumn("confidence", F.lit(0.0))
+    return tables.upsert_rules(table.where("confidence >= 0.15"), old).select(
+        "rule_id", F.round("confidence", 6).alias("confidence")
+    )
+
+
+def locations(spark, d):
+    """Customers' addresses as listing locations, and a link per customer."""
+    nations = S.table(spark, d, "nation").select("n_nationkey", "n_name")
+    customers = S.table(spark, d, "customer").join(
+        nations, F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    place = F.concat("n_name", F.lit(", "), "c_mktsegment", F.lit(" "), "c_custkey", F.lit(" ("),
+                     "c_name", F.lit(")"))
+    return customers.select(
+        "c_custkey",
+        X.clean_location(place).alias("location"),
+        X.listing_link("http://jobs.example.com/", F.concat(F.lit("/"), "c_name")).alias("link"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -401,6 +430,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_feedback,
         merged_feedback,
         latest_suggestions,
+        saved_model_careers,
+        rule_upsert,
+        locations,
     )
 }
 

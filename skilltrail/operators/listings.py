@@ -5,16 +5,16 @@ the same skill bag have the same similarity to everyone, so the search runs over
 distinct bags (and distinct askers) and expands to listings at the end; a career in
 which a third of the listings are copies costs one bag.
 
-The cosine search is exact but does not touch every listing that shares a skill. A
-listing that holds only some weak skills N of an asker scores at most the length of
-the asker's vector on N (Cauchy-Schwarz). Where that stays below a score k listings are
-known to reach, N cannot bring new candidates: its postings (the skills nearly every
-listing has) are only used to complete candidates found through the stronger skills.
+The search is exact but does not touch every listing that shares a skill. A listing
+that holds only some weak skills N of an asker scores at most the length of the asker's
+vector on N (Cauchy-Schwarz). Where that stays below a score k listings are known to
+reach, N cannot bring new candidates: its postings (the skills nearly every listing
+has) are only used to complete candidates found through the stronger skills.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +25,14 @@ from .weights import scoped_idf, unit_vectors, weigh
 # Wider than the rounding of a reported similarity.
 _SLACK = 2e-6
 
+# Best postings per skill looked at for a first bound, as a multiple of k.
+_INDEX_DEPTH = 4
+
+
+def _digest(value: Column) -> Column:
+    """128-bit name of a value."""
+    return F.unhex(F.md5(F.to_json(value)))
+
 
 def askers_of(requests: DataFrame, user_skills: DataFrame, user: str = "user_id") -> DataFrame:
     """Requests `(user, career)` with the asker they stand for.
@@ -43,31 +51,44 @@ def askers_of(requests: DataFrame, user_skills: DataFrame, user: str = "user_id"
         .distinct()
         .join(bags, user, "left")
         .withColumn("bag", F.coalesce("bag", empty))
-        .withColumn("asker", F.sha2(F.to_json(F.struct("career", "bag")), 256))
+        .withColumn("asker", _digest(F.struct("career", "bag")))
     )
 
 
 def _bags(listings: DataFrame, distinct: bool) -> DataFrame:
+    """Rows `(career, unique_url, bag, name)`: sorted skills and the name of that bag."""
     words = F.transform("skills", F.lower)
     words = F.array_distinct(words) if distinct else words
-    return listings.where(F.size("skills") > 0).select(
-        "career", F.col("unique_url").cast("string").alias("unique_url"),
-        F.array_sort(words).alias("bag"),
+    return (
+        listings.where(F.size("skills") > 0)
+        .select(
+            "career",
+            F.col("unique_url").cast("string").alias("unique_url"),
+            F.array_sort(words).alias("bag"),
+        )
+        .withColumn("name", _digest(F.col("bag")))
     )
 
 
 def _profiles(bags: DataFrame) -> DataFrame:
-    """Distinct bags per career, named by the first URL that has them."""
-    return bags.groupBy("career", "bag").agg(
-        F.min("unique_url").alias("profile"), F.count("*").alias("copies")
+    """Distinct bags per career; a profile is called by the first URL that has it."""
+    return (
+        bags.groupBy("career", "name")
+        .agg(
+            F.min("unique_url").alias("profile"),
+            F.count("*").alias("copies"),
+            F.first("bag").alias("bag"),
+        )
+        .drop("name")
     )
 
 
 def _members(bags: DataFrame, k: int) -> DataFrame:
     """First k listings of every profile; no later copy can reach a top k."""
-    hashed = bags.select("career", "unique_url", F.sha2(F.to_json("bag"), 256).alias("h"))
-    first = top_k(hashed, ["career", "h"], [F.col("unique_url")], k)
-    same = W.partitionBy("career", "h")
+    first = top_k(
+        bags.select("career", "unique_url", "name"), ["career", "name"], [F.col("unique_url")], k
+    )
+    same = W.partitionBy("career", "name")
     return first.select("career", "unique_url", F.min("unique_url").over(same).alias("profile"))
 
 
@@ -85,72 +106,123 @@ def _expand(
     return asked.select(user, "asker").join(ranked, "asker").drop("asker")
 
 
-def _weak_skills(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Asker terms with `known` (a score k listings reach), `weak` and `tail`."""
-    index = top_k(vectors, ["career", "skill"], [F.desc("weight"), F.col("profile")], k)
-    reached = (
-        asked.join(index, ["career", "skill"])
-        .groupBy("asker", "profile")
-        .agg(F.max(F.col("asked") * F.col("weight")).alias("score"))
-    )
-    known = (
+def _known_score(reached: DataFrame, k: int) -> DataFrame:
+    """Rows `(asker, known)`: a score that k profiles of the asker reach."""
+    return (
         top_k(reached, ["asker"], [F.desc("score"), F.col("profile")], k)
         .where(F.col("rank") == k)
         .select("asker", F.col("score").alias("known"))
     )
-    weakest_first = (
-        W.partitionBy("asker").orderBy("asked", "skill").rowsBetween(W.unboundedPreceding, 0)
-    )
-    length = F.sqrt(F.sum(F.col("asked") ** 2).over(weakest_first))
+
+
+def _mark_weak(terms: DataFrame, known: DataFrame, reach: Column) -> DataFrame:
+    """Asker terms with `weak` and `known`.
+
+    `reach` is the most that listings can score which share only this skill and those
+    ranked weaker; a skill is weak while that stays below the known score.
+    """
     return (
-        asked.join(known, "asker", "left")
-        .withColumn("length", length)
-        .withColumn(
-            "weak", F.col("length") + F.lit(_SLACK) < F.coalesce(F.col("known"), F.lit(0.0))
-        )
-        .withColumn(
-            "tail",
-            F.coalesce(
-                F.max(F.when(F.col("weak"), F.col("length"))).over(W.partitionBy("asker")),
-                F.lit(0.0),
-            ),
-        )
-        .drop("length")
+        terms.join(known, "asker", "left")
+        .withColumn("known", F.coalesce("known", F.lit(0.0)))
+        .withColumn("reach", reach)
+        .withColumn("weak", F.col("reach") + F.lit(_SLACK) < F.col("known"))
     )
 
 
-def _cosine(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Exact similarities of every profile that may be among an asker's first k."""
-    terms = cut(_weak_skills(vectors, asked, k))
-    product = F.col("asked") * F.col("weight")
+def _search(
+    terms: DataFrame, postings: DataFrame, value: Column, best_case: Column, carried: list[str]
+) -> DataFrame:
+    """Rows `(asker, career, profile, total, *carried)` of all possible top-k profiles.
+
+    Strong skills find the candidates; those whose `best_case` stays below the known
+    score are dropped; weak skills are then looked up for the remaining pairs only.
+    """
+    pair = ["asker", "career", "profile", *carried]
     found = (
         terms.where("not weak")
-        .join(vectors, ["career", "skill"])
-        .groupBy("asker", "career", "profile")
+        .join(postings, ["career", "skill"])
+        .groupBy(*pair)
         .agg(
-            F.sum(product).alias("part"),
+            F.sum(value).alias("part"),
             F.first("tail").alias("tail"),
             F.first("known").alias("known"),
         )
-        .where(
-            F.col("part") + F.col("tail") + F.lit(_SLACK) >= F.coalesce(F.col("known"), F.lit(0.0))
-        )
+        .where(best_case + F.lit(_SLACK) >= F.col("known"))
     )
+    weak = terms.where("weak").drop("career", "known", "tail", "weak", *carried)
     rest = (
         found.where("tail > 0")
-        .select("asker", "career", "profile")
-        .join(terms.where("weak").select("asker", "skill", "asked"), "asker")
-        .join(vectors, ["career", "profile", "skill"])
-        .select("asker", "career", "profile", product.alias("part"))
+        .select(*pair)
+        .join(weak, "asker")
+        .join(postings.drop(*carried), ["career", "profile", "skill"])
+        .select(*pair, value.alias("part"))
     )
     return (
-        found.select("asker", "career", "profile", "part")
+        found.select(*pair, "part")
         .unionByName(rest)
-        .groupBy("asker", "career", "profile")
-        .agg(F.round(F.sum("part"), DIGITS).alias("sim"))
+        .groupBy(*pair)
+        .agg(F.sum("part").alias("total"))
     )
 
 
+def _cosine(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Exact similarities of every profile that may be among an asker's first k."""
+    product = F.col("asked") * F.col("weight")
+    index = top_k(
+        vectors, ["career", "skill"], [F.desc("weight"), F.col("profile")], k * _INDEX_DEPTH
+    )
+    # Adding up only what the index shows never exceeds the whole similarity.
+    reached = (
+        asked.join(index, ["career", "skill"])
+        .groupBy("asker", "profile")
+        .agg(F.sum(product).alias("score"))
+    )
+    weakest_first = (
+        W.partitionBy("asker").orderBy("asked", "skill").rowsBetween(W.unboundedPreceding, 0)
+    )
+    length = F.sqrt(F.sum(F.col("asked") ** 2).over(weakest_first))
+    marked = _mark_weak(asked, _known_score(reached, k), length)
+    tail = F.max(F.when(F.col("weak"), F.col("reach"))).over(W.partitionBy("asker"))
+    terms = cut(marked.withColumn("tail", F.coalesce(tail, F.lit(0.0))).drop("reach"))
+    return _search(terms, vectors, product, F.col("part") + F.col("tail"), []).withColumn(
+        "sim", F.round("total", DIGITS)
+    )
+
+
+def _overlap(shared: Column) -> Column:
+    return shared / (F.col("n_asked") + F.col("n_listed") - shared)
+
+
+def _jaccard(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The same for shared over joint skills.
+
+    A listing that shares only the m most frequent skills of an asker with n skills
+    scores at most m / n.
+    """
+    index = top_k(
+        postings, ["career", "skill"], [F.col("n_listed"), F.col("profile")], k * _INDEX_DEPTH
+    )
+    reached = (
+        asked.join(index, ["career", "skill"])
+        .groupBy("asker", "profile", "n_asked", "n_listed")
+        .agg(F.count("*").alias("shared"))
+        .withColumn("score", _overlap(F.col("shared")))
+    )
+    spread = postings.groupBy("career", "skill").agg(F.count("*").alias("df"))
+    commonest_first = W.partitionBy("asker").orderBy(F.desc("df"), "skill")
+    marked = _mark_weak(
+        asked.join(spread, ["career", "skill"]),
+        _known_score(reached, k),
+        F.row_number().over(commonest_first) / F.col("n_asked"),
+    )
+    tail = F.sum(F.col("weak").cast("int")).over(W.partitionBy("asker"))
+    terms = cut(marked.withColumn("tail", tail).drop("reach", "df"))
+    most = F.col("part") + F.least(F.col("tail"), F.col("n_listed") - F.col("part"))
+    carried = ["n_asked", "n_listed"]
+    found = _search(terms, postings, F.lit(1), _overlap(most), carried)
+    return found.withColumn("sim", F.round(_overlap(F.col("total")), DIGITS))
+
+
 def listing_vectors(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """IDF per career and unit vectors per profile, written once for all later passes."""
     terms = cut(
@@ -204,18 +276,7 @@ def rank_listings_jaccard(
     wanted = askers.select(
         "asker", "career", F.size("bag").alias("n_asked"), F.explode("bag.skill").alias("skill")
     )
-    shared = F.count("*")
-    sims = (
-        wanted.join(terms, ["career", "skill"])
-        .groupBy("asker", "career", "profile", "n_asked", "n_listed")
-        .agg(shared.alias("shared"))
-        .withColumn(
-            "sim",
-            F.round(
-                F.col("shared") / (F.col("n_asked") + F.col("n_listed") - F.col("shared")), DIGITS
-            ),
-        )
-    )
+    sims = _jaccard(terms, wanted, k)
     best = top_k(sims, ["asker"], [F.desc("sim"), F.col("profile")], k)
     return _expand(
         best.select("asker", "career", "profile", "sim"), bags, asked, askers.drop("bag"), user, k

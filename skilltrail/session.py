@@ -59,6 +59,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, below one folder per application.
+
+    Nothing is deleted while the application may still read it; remove the
+    application's folder when it has ended.
+    """
+    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    application = spark.sparkContext.applicationId
+    return f"{folder}/skilltrail/{application}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage here: write a table to the checkpoint folder and read it back.
 
@@ -66,7 +77,7 @@ def cut(df: DataFrame) -> DataFrame:
     checkpoint it is columnar and tells the optimizer its size.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/skilltrail-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

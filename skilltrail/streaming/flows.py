@@ -32,7 +32,10 @@ def ingest_stream(
     """
 
     def insert(batch: DataFrame, _: int) -> None:
-        ingest_pages(batch, lexicon, path)
+        cores = batch.sparkSession.sparkContext.defaultParallelism
+        # A batch of few files would be read by few tasks.
+        few = batch.rdd.getNumPartitions() < cores
+        ingest_pages(batch.repartition(cores) if few else batch, lexicon, path)
 
     return (
         pages.writeStream.foreachBatch(insert)

@@ -100,6 +100,30 @@ def test_listing_ranking_equals_full_scan(spark, seed, vocabulary, hot):
         assert [s for _, s in seen[key]] == pytest.approx([s for _, s in want[key]], abs=2e-6)
 
 
+@pytest.mark.parametrize("seed,vocabulary", [(4, 8), (5, 40)])
+def test_jaccard_equals_full_scan(spark, seed, vocabulary):
+    rng = random.Random(seed)
+    skills = [f"s{i}" for i in range(vocabulary)]
+    stored = [
+        ("c", f"/{i}", rng.choices(skills, k=rng.randint(1, 7)) + ["usual"] * rng.randint(0, 1))
+        for i in range(150)
+    ]
+    owned = [(u, s) for u in range(30) for s in rng.choices(skills, k=rng.randint(1, 6)) + ["usual"]]
+    got = listings.rank_listings_jaccard(
+        spark.createDataFrame([(u, "c") for u in range(30)], "user_id long, career string"),
+        users_of(spark, owned),
+        spark.createDataFrame(stored, "career string, unique_url string, skills array<string>"),
+    ).collect()
+    for user in range(30):
+        mine = {s for u, s in owned if u == user}
+        sims = {
+            url: round(len(mine & set(bag)) / len(mine | set(bag)), 6) for _, url, bag in stored
+        }
+        want = sorted(sims.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
+        mine_got = sorted((r for r in got if r.user_id == user), key=lambda r: r["rank"])
+        assert [(r.unique_url, pytest.approx(r.sim)) for r in mine_got] == want
+
+
 def test_jaccard(spark):
     stored = spark.createDataFrame(
         [("c", "/1", ["a", "b", "b"]), ("c", "/2", ["a"]), ("c", "/3", ["A"]), ("c", "/4", ["z"])],
