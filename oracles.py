@@ -284,7 +284,26 @@ SELECT action, formatted, lower(arg_max(spelling, latest)) AS skill,
 FROM spelled GROUP BY action, formatted"""
 
 
+_RANKED_QUERIES = [
+    "suggest_careers",
+    "saved_model_careers",
+    "rank_listings",
+    "jaccard_listings",
+    "suggest_skills",
+    "latest_suggestions",
+    "learning_plan",
+]
+
+
 def oracle_sql() -> dict[str, str]:
+    queries = _oracles()
+    for name in _RANKED_QUERIES:
+        # Spark's row_number is a 32-bit integer.
+        queries[name] = f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({queries[name]})"
+    return queries
+
+
+def _oracles() -> dict[str, str]:
     return {
         "suggest_careers": f"WITH {_CAREER_MODEL} SELECT user_id, career, sim, rank FROM suggested",
         "saved_model_careers": f"WITH {_CAREER_MODEL} SELECT user_id, career, sim, rank FROM suggested",

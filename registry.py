@@ -45,23 +45,21 @@ def career_vectors(spark, d):
     return _model(spark, d).vectors.select("career", "skill", F.round("weight", 6).alias("weight"))
 
 
-def _passage_requests(spark, d):
-    users = S.passage_users(spark, d)
-    return users, careers.suggest_careers(users, _model(spark, d)).select("user_id", "career")
+def _document_search(spark, d, search):
+    """Listings of the careers suggested to each passage, from stored listings."""
+    stored, users = cut(S.document_listings(spark, d)), S.passage_users(spark, d)
+    wanted = careers.suggest_careers(users, careers.fit_career_model(stored))
+    return search(wanted.select("user_id", "career"), users, stored).select(
+        "user_id", "career", "unique_url", "sim", "rank"
+    )
 
 
 def rank_listings(spark, d):
-    users, wanted = _passage_requests(spark, d)
-    return listings.rank_listings(wanted, users, S.document_listings(spark, d)).select(
-        "user_id", "career", "unique_url", "sim", "rank"
-    )
+    return _document_search(spark, d, listings.rank_listings)
 
 
 def jaccard_listings(spark, d):
-    users, wanted = _passage_requests(spark, d)
-    return listings.rank_listings_jaccard(wanted, users, S.document_listings(spark, d)).select(
-        "user_id", "career", "unique_url", "sim", "rank"
-    )
+    return _document_search(spark, d, listings.rank_listings_jaccard)
 
 
 def _mined(spark, d):

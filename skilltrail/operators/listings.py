@@ -93,9 +93,10 @@ def _members(bags: DataFrame, k: int) -> DataFrame:
 
 
 def _expand(
-    best: DataFrame, bags: DataFrame, asked: DataFrame, askers: DataFrame, user: str, k: int
+    sims: DataFrame, bags: DataFrame, asked: DataFrame, askers: DataFrame, user: str, k: int
 ) -> DataFrame:
     """From top profiles per asker to top listings per user."""
+    best = top_k(sims.where("sim > 0"), ["asker"], [F.desc("sim"), F.col("profile")], k)
     listed = best.join(_members(bags, k), ["career", "profile"]).select(
         "asker", "career", "unique_url", "sim"
     )
@@ -253,8 +254,7 @@ def rank_listings(
     terms = askers.select("asker", "career", F.inline("bag"))
     weights = unit_vectors(weigh(terms, idf, ["career", "skill"]), ["asker", "career"])
     sims = _cosine(vectors, weights.withColumnRenamed("weight", "asked"), k)
-    best = top_k(sims.where("sim > 0"), ["asker"], [F.desc("sim"), F.col("profile")], k)
-    return _expand(best, bags, asked, askers.drop("bag"), user, k)
+    return _expand(sims, bags, asked, askers.drop("bag"), user, k)
 
 
 def rank_listings_jaccard(
@@ -277,10 +277,7 @@ def rank_listings_jaccard(
         "asker", "career", F.size("bag").alias("n_asked"), F.explode("bag.skill").alias("skill")
     )
     sims = _jaccard(terms, wanted, k)
-    best = top_k(sims, ["asker"], [F.desc("sim"), F.col("profile")], k)
-    return _expand(
-        best.select("asker", "career", "profile", "sim"), bags, asked, askers.drop("bag"), user, k
-    )
+    return _expand(sims, bags, asked, askers.drop("bag"), user, k)
 
 
 def describe_listings(ranked: DataFrame, listings: DataFrame) -> DataFrame:

@@ -33,24 +33,30 @@ def rank_with_zeros(
     The scope columns are those that owners and fillers share; with none, all owners
     share one set of fillers.
     """
-    best = top_k(scored.where("sim > 0"), owner, [F.desc("sim"), F.col(doc)], k)
+    best = (
+        top_k(scored.where("sim > 0"), owner, [F.desc("sim"), F.col(doc)], k)
+        .groupBy(*owner)
+        .agg(F.array_sort(F.collect_list(F.struct("rank", doc, "sim"))).alias("best"))
+    )
     scope = [c for c in fillers.columns if c != doc]
-    lists = fillers.groupBy(*scope).agg(F.collect_list(doc).alias("fill"))
+    lists = fillers.groupBy(*scope).agg(F.array_sort(F.collect_list(doc)).alias("fill"))
     if scope:
         offered = owners.join(lists, scope)
     else:
         offered = owners.withColumn("fill", lists.select("fill").scalar())
-    found = best.groupBy(*owner).agg(F.collect_list(doc).alias("found"))
-    rest = (
-        offered.join(found, owner, "left")
-        .where(F.coalesce(F.size("found"), F.lit(0)) < k)
-        .select(
-            *owner,
-            F.explode(
-                F.array_except("fill", F.coalesce("found", F.array().cast("array<string>")))
-            ).alias(doc),
-        )
-        .withColumn("sim", F.lit(0.0))
+    row = f"struct<{doc}:string,sim:double>"
+    found = F.coalesce(
+        F.transform("best", lambda b: F.struct(b[doc].alias(doc), b["sim"].alias("sim"))),
+        F.array().cast(f"array<{row}>"),
+    )
+    unused = F.array_except("fill", F.transform("found", lambda f: f[doc]))
+    zeros = F.transform(
+        F.slice(unused, F.lit(1), F.greatest(F.lit(k) - F.size("found"), F.lit(0))),
+        lambda d: F.struct(d.alias(doc), F.lit(0.0).alias("sim")),
+    )
+    return (
+        offered.join(best, owner, "left")
+        .withColumn("found", found)
+        .select(*owner, F.posexplode(F.concat("found", zeros)).alias("pos", "row"))
+        .select(*owner, f"row.{doc}", "row.sim", (F.col("pos") + 1).alias("rank"))
     )
-    both = best.drop("rank").select(*owner, doc, "sim").unionByName(rest)
-    return top_k(both, owner, [F.desc("sim"), F.col(doc)], k)

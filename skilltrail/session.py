@@ -90,6 +90,6 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of fewer files than cores; larger inputs stay unshuffled."""
+    """Use all cores on an input of fewer splits than cores; larger inputs stay unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,4 +1,4 @@
-"""Measured decisions about which join sides may be broadcast."""
+"""Measured size of join sides that may be broadcast."""
 
 from __future__ import annotations
 
@@ -15,11 +15,3 @@ def measured_bytes(df: DataFrame) -> int:
     fixed = 16 + 8 * len(df.columns)
     row = sum((F.coalesce(t, F.lit(0)) for t in text), F.lit(fixed))
     return df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("b")).first()["b"]
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only when the table has been measured to fit.
-
-    Beyond the limit the frame is returned as it is and the join shuffles.
-    """
-    return F.broadcast(df) if measured_bytes(df) <= limit else df

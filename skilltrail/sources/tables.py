@@ -16,8 +16,7 @@ def read_listings(spark: SparkSession, path: str, career: str | None = None) ->
     listings = spark.read.schema(schemas.LISTINGS).parquet(path)
     if career is None:
         return listings
-    key = spark.range(1).select(format_career(F.lit(career)).alias("k")).first()["k"]
-    return listings.where(F.col("career") == key)
+    return listings.where(F.col("career") == format_career(F.lit(career)))
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.feedback import fold_spellings, spelling_counts
 from ..plans.jobs import ingest_pages
+from ..session import spread
 
 SPELLINGS = T.StructType(
     [
@@ -28,14 +29,12 @@ def ingest_stream(
     """Add arriving pages to the listing table, one row per URL over all batches.
 
     A batch that is run again after a failure inserts only what is missing, since every
-    insert skips the keys already stored.
+    insert skips the keys already stored. That holds however late a copy arrives, so no
+    watermark is needed. One writer per table.
     """
 
     def insert(batch: DataFrame, _: int) -> None:
-        cores = batch.sparkSession.sparkContext.defaultParallelism
-        # A batch of few files would be read by few tasks.
-        few = batch.rdd.getNumPartitions() < cores
-        ingest_pages(batch.repartition(cores) if few else batch, lexicon, path)
+        ingest_pages(spread(batch), lexicon, path)
 
     return (
         pages.writeStream.foreachBatch(insert)
