@@ -101,10 +101,11 @@ def insert_listings(batch: DataFrame, path: str, order: list[str | Column] | Non
     fresh = new_listings(batch.where(has_skills()), stored, order)
     counter = Observation()
     # Rebalanced by career: few files per folder, while a hot career is split over tasks.
-    rows = fresh.select(*schemas.LISTINGS.fieldNames()).observe(
-        counter, F.count(F.lit(1)).alias("n_new")
-    )
-    rows.hint("rebalance", "career").write.mode("append").partitionBy("career").parquet(path)
+    rows = fresh.select(*schemas.LISTINGS.fieldNames()).hint("rebalance", "career")
+    # Counted last: below the rebalance an empty batch would lose its counter.
+    rows.observe(counter, F.count(F.lit(1)).alias("n_new")).write.mode("append").partitionBy(
+        "career"
+    ).parquet(path)
     return counter.get["n_new"]
 
 
