@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skilltrail.llm.packing import op2_packing
+from skilltrail.llm.sharding import op1_sharding
 from skilltrail.llm.token_files import op6_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name; each takes `(spark, sf_dir)`."""
     return {
+        "op1_sharding": op1_sharding,
+        "op2_packing": op2_packing,
         "op6_token_files": op6_token_files,
     }
 
