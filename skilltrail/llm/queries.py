@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skilltrail.llm.packing import op2_packing
+from skilltrail.llm.quality_rules import OP7_SQL, op7_quality_rules
 from skilltrail.llm.sharding import op1_sharding
 from skilltrail.llm.token_files import op6_token_files
 
@@ -17,9 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_packing": op2_packing,
         "op6_token_files": op6_token_files,
+        "op7_quality_rules": op7_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query that SQL can express."""
-    return {}
+    return {
+        "op7_quality_rules": OP7_SQL,
+    }
