@@ -163,8 +163,8 @@ base AS (
   SELECT w.doc_id, source, len(ws)::BIGINT AS n_words,
          length(array_to_string(ws, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-         (len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-          - len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT
+         (len([x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')])
+          - len(list_distinct([x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')])))::BIGINT
            AS n_dup_lines,
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
