@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skilltrail.llm.decontamination import op10_decontamination
+from skilltrail.llm.near_dup import op8_near_dup
 from skilltrail.llm.packing import op2_packing
 from skilltrail.llm.quality_rules import OP7_SQL, op7_quality_rules
 from skilltrail.llm.sharding import op1_sharding
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op6_token_files": op6_token_files,
         "op7_quality_rules": op7_quality_rules,
+        "op8_near_dup": op8_near_dup,
         "op10_decontamination": op10_decontamination,
     }
 
