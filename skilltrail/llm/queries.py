@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skilltrail.llm.decontamination import op10_decontamination
 from skilltrail.llm.near_dup import op8_near_dup
 from skilltrail.llm.packing import op2_packing
+from skilltrail.llm.quality_model import op5_quality_model
 from skilltrail.llm.quality_rules import OP7_SQL, op7_quality_rules
 from skilltrail.llm.sharding import op1_sharding
 from skilltrail.llm.token_files import op6_token_files
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_packing": op2_packing,
+        "op5_quality_model": op5_quality_model,
         "op6_token_files": op6_token_files,
         "op7_quality_rules": op7_quality_rules,
         "op8_near_dup": op8_near_dup,
