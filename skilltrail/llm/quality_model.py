@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skilltrail.llm.tokens import text_slices
 from skilltrail.llm.training import Adam, fold
+from skilltrail.llm.words import plain_texts
 
 CHUNK, HOP = 256, 192
 DIM, WIDTH, STRIDE, FILTERS = 8, 6, 2, 32
@@ -46,7 +47,7 @@ def chunked(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow array of texts, end to end, with bounds; null is empty."""
-    texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
+    texts = plain_texts(texts)
     if not len(texts):
         return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]

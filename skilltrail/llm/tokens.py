@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from skilltrail.llm.words import plain_texts
+
 #: Words in each of the two generations of a worker's cache; longer words are not kept.
 CACHED_WORDS = 250_000
 CACHED_LENGTH = 48
@@ -84,7 +86,7 @@ class Encoder:
 
         Null and empty texts have none.
         """
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = plain_texts(texts)
         if not self.joined:
             texts = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(texts, " ")

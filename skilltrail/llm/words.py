@@ -23,9 +23,15 @@ _BYTE = _salts(256, 1 << 20)
 _PLACE = _salts(4096, 1 << 30)
 
 
+def plain_texts(texts: pa.Array) -> pa.Array:
+    """Texts as an array of its own, not a slice of another; null becomes empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    return pa.concat_arrays([texts, pa.array([], pa.large_string())])
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words `[^\\x20\\x09-\\x0D]+` of each text with A-Z lower-cased, and each text's bounds."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.ascii_lower(plain_texts(texts))
     lists = pc.ascii_split_whitespace(texts)
     words, bounds = lists.flatten(), lists.offsets.to_numpy()
     full = pc.greater(pc.binary_length(words), 0)
@@ -40,7 +46,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of non-empty words, the same in every process."""
     if not len(words):
         return np.zeros(0, dtype=np.uint64)
-    words = pa.concat_arrays([words])
+    words = plain_texts(words)
     offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
     data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     starts = offsets[:-1] - offsets[0]

@@ -20,6 +20,8 @@ def test_cached_ids_equal_the_library(name, joined):
         flat, bounds = words.ids_of(pa.array(texts))
         for text, ids in zip(texts, np.split(flat, bounds[1:-1]), strict=True):
             assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    part, _ = words.ids_of(pa.array(texts).slice(5, 90))
+    assert part.tolist() == flat[bounds[5] : bounds[95]].tolist()
     assert words.ids_of(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0, 0]
 
 

@@ -16,5 +16,8 @@ def test_words_and_hashes():
     for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
         assert listed[a:b] == re.findall("[^\x20\x09-\x0d]+", (text or "").translate(lower))
     assert len({w: h for w, h in zip(listed, hashes.tolist(), strict=True)}) == len(set(hashes.tolist()))
+    part, part_bounds = split_words(pa.array(texts).slice(3, 50))
+    assert part.to_pylist() == listed[bounds[3] : bounds[53]]
+    assert part_bounds.tolist() == (bounds[3:54] - bounds[3]).tolist()
     assert len(word_hashes(words.slice(0, 0))) == 0
     assert word_hashes(words.slice(7, 3)).tolist() == hashes[7:10].tolist()
