@@ -14,6 +14,7 @@ from skilltrail.llm.quality_model import op5_quality_model
 from skilltrail.llm.quality_rules import OP7_SQL, op7_quality_rules
 from skilltrail.llm.sharding import op1_sharding
 from skilltrail.llm.token_files import op6_token_files
+from skilltrail.llm.url_filter import op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": op6_token_files,
         "op7_quality_rules": op7_quality_rules,
         "op8_near_dup": op8_near_dup,
+        "op9_url_filter": op9_url_filter,
         "op10_decontamination": op10_decontamination,
     }
 
