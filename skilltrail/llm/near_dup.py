@@ -9,7 +9,8 @@ full sets.
 
 Equal sets are one class from the start. Buckets of bands are never multiplied out: first
 every class is checked against the leader it shares most bands with, which joins most copies;
-only classes of one bucket that are then still in different components are compared further.
+only classes of one bucket that are then still in different components are compared further,
+first by the likeliest pair of two components, then in full.
 """
 
 from __future__ import annotations
@@ -237,12 +238,12 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.withColumn("component", F.coalesce("component", "cid"))
 
 
-def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs between components in the buckets: a, b, their components and the estimate.
+def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """Likely pairs (a, b) between different components of one bucket.
 
     `members` has key, cid, component, n_shingles and registers. A bucket is cut into blocks
     of about BLOCK members by a hash, and blocks are compared pair by pair, so a group is
-    bounded; only likely pairs leave it.
+    bounded. Only likely pairs leave it; with `best_only` just the likeliest of two components.
     """
     sizes = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
@@ -276,6 +277,7 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
                         b"".join(members.field("registers").to_pylist()), dtype=np.uint16
                     ).reshape(-1, REGISTERS)
                     split = batch.column(1)[group].as_py() != batch.column(2)[group].as_py()
+                    best: dict[tuple, tuple] = {}
                     for k in range(len(ids)):
                         ok = (labels != labels[k]) & (ids > ids[k])
                         ok &= np.minimum(n, n[k]) >= threshold * np.maximum(n, n[k])
@@ -285,11 +287,13 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
                         if len(others):
                             own = np.broadcast_to(registers[k], (len(others), REGISTERS))
                             near = estimates(own, registers[others])
-                            found += [
-                                (ids[k], ids[o], labels[k], labels[o], e)
-                                for o, e in zip(others, near, strict=True)
-                                if e >= least
-                            ]
+                            for o, e in zip(others[near >= least], near[near >= least], strict=True):
+                                pair = (ids[k], ids[o], *sorted((labels[k], labels[o])), e)
+                                if not best_only:
+                                    found.append(pair)
+                                elif best.get(pair[2:4], pair)[4] <= e:
+                                    best[pair[2:4]] = pair
+                    found += best.values()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f[i] for f in found], kind) for i, kind in enumerate([pa.int64()] * 4 + [pa.float64()])],
                     names=["a", "b", "ca", "cb", "estimate"],
@@ -298,9 +302,10 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
     pairs = groups.select("key", "i", "j", "members").mapInArrow(
         compare, "a long, b long, ca long, cb long, estimate double"
     )
-    return pairs.groupBy("a", "b").agg(
-        F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.first("estimate").alias("estimate")
-    )
+    if best_only:
+        top = F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("top")
+        return pairs.groupBy("ca", "cb").agg(top).select("top.*")
+    return pairs.select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -347,23 +352,20 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         registers = table.select("doc_id", "n_shingles", "registers").join(some, "doc_id", "left_semi")
         edges = cut(verified(cut(likely(first, registers, threshold)), texts, size, percent))
         labels = None if edges.isEmpty() else components(edges)
-        # What one bucket still holds of different components.
-        rows = _labelled(members.select("key", "cid"), labels).join(
-            registers.withColumnRenamed("doc_id", "cid"), "cid"
-        )
-        cross = cut(_cross_pairs(rows, threshold))
-        best = cross.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), "estimate").alias("best")).select("best.*")
-        more = cut(verified(best, texts, size, percent))
-        if not more.isEmpty():
+
+
+        def cross(best_only: bool) -> DataFrame:
+            """Linked pairs of classes that share a bucket but, so far, no component."""
+            rows = _labelled(members.select("key", "cid"), labels)
+            rows = rows.join(registers.withColumnRenamed("doc_id", "cid"), "cid")
+            return cut(verified(cut(_cross_pairs(rows, threshold, best_only)), texts, size, percent))
+
+        # The likeliest pair of two components joins most that belong together ...
+        while not (more := cross(True)).isEmpty():
             edges = edges.union(more)
             labels = components(edges)
-            for side in ("a", "b"):
-                cross = _labelled(cross.withColumnRenamed(side, "cid").drop("component"), labels).withColumnsRenamed(
-                    {"cid": side, "component": "c" + side + "2"}
-                )
-            cross = cut(cross.where("ca2 != cb2"))
-        rest = cross.join(best, ["a", "b"], "left_anti")
-        last = cut(verified(rest, texts, size, percent))
+        # ... and what is still apart is compared in full.
+        last = cross(False)
         if not last.isEmpty():
             labels = components(edges.union(last))
     own = table.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")
