@@ -206,6 +206,22 @@ def scored(docs: DataFrame, network: ByteNetwork) -> DataFrame:
     return docs.mapInArrow(score, schema)
 
 
+def accepted(docs: DataFrame, network: ByteNetwork) -> DataFrame:
+    """The rows of `docs`, with all their columns, that score THRESHOLD or more."""
+    at = docs.columns.index("text")
+    weights = network.weights()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ByteNetwork()
+        model.bytes, model.filters, model.bias, model.out, model.base = weights
+        for whole in batches:
+            for batch in text_slices(whole, at, 1 << 20):
+                found = model.scores(*chunked(*text_bytes(batch.column(at))))
+                yield batch.filter(pa.array(found >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learned from four of five labelled folds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

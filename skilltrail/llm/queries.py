@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skilltrail.llm.decontamination import op10_decontamination
+from skilltrail.llm.html_text import op3_html_text
 from skilltrail.llm.language_id import op4_language_id
 from skilltrail.llm.near_dup import op8_near_dup
 from skilltrail.llm.packing import op2_packing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_packing": op2_packing,
+        "op3_html_text": op3_html_text,
         "op4_language_id": op4_language_id,
         "op5_quality_model": op5_quality_model,
         "op6_token_files": op6_token_files,
