@@ -27,8 +27,10 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose source is not rejected."""
-    rows = docs.select(F.struct("*").alias("row"), "text", "source")
-    return judged(measured(rows)).where("kept").select("row.*")
+    rows = judged(measured(docs.select(F.struct("*").alias("row"), "text", "source")))
+    # A filter would be pushed below the measures, which would then be worked out again for
+    # every element of every array; an explode of one or no row stays where it is.
+    return rows.select(F.explode(F.array_compact(F.array(F.when(F.col("kept"), F.col("row"))))).alias("row")).select("row.*")
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
