@@ -11,9 +11,11 @@ boundaries of its neighbours.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import RESUME_HEADINGS, WORD_CLASS, format_skill, normalise
 from ..session import cut
@@ -40,7 +42,9 @@ def display_names(lexicon: DataFrame) -> DataFrame:
     return (
         lexicon.where("formatted != ''")
         .groupBy("formatted")
-        .agg(F.max_by("skill", "ord").alias("skill"), F.min("ord").alias("ord"))
+        .agg(
+            F.max_by("skill", F.struct("ord", "skill")).alias("skill"), F.min("ord").alias("ord")
+        )
     )
 
 
@@ -115,8 +119,12 @@ def _hits_shuffled(texts: DataFrame, key: list[str], phrases: DataFrame) -> Data
     )
 
 
+#: Runs of more overlapping hits than this are settled by `_settle_long`.
+LONG_RUN = 16
+
+
 def _settle(hits: Column) -> Column:
-    """Skills of one run of overlapping hits, best first, none sharing a piece."""
+    """Skills of one short run of overlapping hits, best first, none sharing a piece."""
     start = F.struct(
         F.array().cast("array<int>").alias("taken"), F.array().cast("array<string>").alias("kept")
     )
@@ -133,6 +141,31 @@ def _settle(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, step, lambda state: state["kept"])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _settle_long(runs: pd.Series) -> pd.Series:
+    """The same for long runs, which a fold over arrays would settle in quadratic time.
+
+    Short runs arrive as null and stay so. A piece is marked once, so a run of any length
+    costs a sort and one pass.
+    """
+
+    def settle(run):
+        if run is None:
+            return None
+        first = min(hit["start"] for hit in run)
+        taken = bytearray(max(hit["start"] + hit["n"] for hit in run) - first)
+        kept = []
+        order = sorted((h["rank"], h["ord"], h["start"], h["n"], h["skill"]) for h in run)
+        for _, _, start, n, skill in order:
+            at = start - first
+            if not any(taken[at : at + n]):
+                taken[at : at + n] = bytes([1]) * n
+                kept.append(skill)
+        return kept
+
+    return runs.map(settle)
+
+
 def match_skills(
     texts: DataFrame, lexicon: DataFrame, key: list[str], text: str = "text", ignore=()
 ) -> DataFrame:
@@ -162,7 +195,13 @@ def match_skills(
     best_first = F.struct((-F.col("length")).alias("rank"), "ord", "start", "n", "skill")
     settled = runs.groupBy(*key, "run").agg(F.collect_list(best_first).alias("hits"))
     alone = F.array(F.col("hits")[0]["skill"])
-    kept = F.when(F.size("hits") == 1, alone).otherwise(_settle(F.col("hits")))
+    long = _settle_long(F.when(F.size("hits") > LONG_RUN, F.col("hits")))
+    settled = settled.withColumn("long", long)
+    kept = (
+        F.when(F.size("hits") == 1, alone)
+        .when(F.size("hits") <= LONG_RUN, _settle(F.col("hits")))
+        .otherwise(F.col("long"))
+    )
     return (
         settled.select(*key, F.explode(kept).alias("skill"))
         .groupBy(*key, "skill")

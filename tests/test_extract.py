@@ -87,8 +87,20 @@ def test_random_texts_agree_with_the_rule(spark, both_joins):
 
 
 def test_long_runs_of_overlaps(spark):
-    got = extract(spark, ["a b", "b a", "a"], ["a b " * 500])
-    assert got[0] == {"a b": 500}
+    got = extract(spark, ["a b", "b a", "a"], ["a b " * 500, "a b " * 20000])
+    assert got[0] == {"a b": 500} and got[1] == {"a b": 20000}
+
+
+def test_long_and_short_runs_settle_alike(spark, monkeypatch):
+    rng = random.Random(3)
+    lex = lexicon_of(spark, ["a b", "b a", "a", "b c d", "c d a b", "d", "a a"])
+    rows = [(i, " ".join(rng.choices("abcd", k=rng.randint(1, 80)))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    found = []
+    for limit in (0, 1000):
+        monkeypatch.setattr(E, "LONG_RUN", limit)
+        found.append(sorted(map(tuple, E.match_skills(frame, lex, ["id"]).collect())))
+    assert found[0] == found[1] and found[0]
 
 
 def test_partitioning_does_not_matter(spark):
