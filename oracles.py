@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from skilltrail.functions.text import BLANKS, HTML_ENTITIES, LINE_BREAKS, SPELLING_FOLDS
+# Written out here, so that a wrong value in the engine does not pass on both sides.
+SPELLING_FOLDS = [("re-", "re"), ("co-", "co"), ("non-", "non"), ("&", "and"), (",", "")]
+LINE_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+BLANKS = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+# The references that the given pages hold; all may lack their semicolon, `amp` comes last.
+PAGE_REFERENCES = [("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")]
 
 _WORDS = r"[\p{L}\p{N}_]+"
 
@@ -31,7 +36,9 @@ def _squeeze(expr: str) -> str:
 
 
 def _unescaped(expr: str) -> str:
-    return _replaced(expr, [(f"&{name};", char) for name, char in HTML_ENTITIES])
+    for name, char in PAGE_REFERENCES:
+        expr = f"regexp_replace({expr}, '&{name};?', '{char}', 'g')"
+    return expr
 
 
 def _visible(expr: str) -> str:
@@ -87,22 +94,13 @@ lines AS (
 basket AS (SELECT DISTINCT career, k, item FROM lines),
 sizes AS (SELECT career, count(DISTINCT k) AS n FROM basket GROUP BY career HAVING count(DISTINCT k) > 20)"""
 
-def _sets(longest: int) -> str:
-    """Itemsets of every size by self-joins of the baskets."""
-    parts = []
-    for size in range(1, longest + 1):
-        joins = "".join(
-            f" JOIN b t{i} ON t{i - 1}.k = t{i}.k AND t{i - 1}.item < t{i}.item"
-            for i in range(2, size + 1)
-        )
-        items = ", ".join(f"t{i}.item" for i in range(1, size + 1))
-        parts.append(
-            f"SELECT t1.career, [{items}] AS s, count(*) AS freq FROM b t1{joins} GROUP BY ALL"
-        )
-    return "sets AS (" + " UNION ALL ".join(parts) + ")"
-
-
-_SETS = _sets(12)
+# Itemsets of every size the baskets have, each grown from the set before by a later item.
+_SETS = """grown AS (
+  SELECT career, k, [item] AS s, item AS last FROM b
+  UNION ALL
+  SELECT grown.career, grown.k, list_append(s, b.item), b.item
+  FROM grown JOIN b ON grown.k = b.k AND b.item > grown.last),
+sets AS (SELECT career, s, count(*) AS freq FROM grown GROUP BY ALL)"""
 
 _ITEMSETS = f"""{_BASKETS},
 b AS (SELECT * FROM basket WHERE career IN (SELECT career FROM sizes)),
@@ -307,7 +305,7 @@ def _oracles() -> dict[str, str]:
     return {
         "suggest_careers": f"WITH {_CAREER_MODEL} SELECT user_id, career, sim, rank FROM suggested",
         "saved_model_careers": f"WITH {_CAREER_MODEL} SELECT user_id, career, sim, rank FROM suggested",
-        "rule_upsert": f"""WITH {_RULES}
+        "rule_upsert": f"""WITH RECURSIVE {_RULES}
             SELECT career || '+' || suggested || '["' || array_to_string(antecedent, '","') || '"]' AS rule_id,
               CASE WHEN confidence >= 0.15 THEN round(confidence, 6) ELSE 0.0 END AS confidence
             FROM rules""",
@@ -343,27 +341,27 @@ def _oracles() -> dict[str, str]:
               SELECT user_id, career, doc_id, round(len(list_intersect(a, b)) /
                 (len(a) + len(b) - len(list_intersect(a, b))), 6) AS sim
               FROM wanted JOIN us USING (user_id) JOIN ls USING (career)) {_RANKED}""",
-        "frequent_itemsets": f"""WITH {_ITEMSETS}
+        "frequent_itemsets": f"""WITH RECURSIVE {_ITEMSETS}
             SELECT career, array_to_string(s, ',') AS items, freq, n, CAST(r AS INTEGER) AS halvings
             FROM itemsets""",
-        "skill_rules": f"""WITH {_RULES}
+        "skill_rules": f"""WITH RECURSIVE {_RULES}
             SELECT career, array_to_string(antecedent, ',') AS antecedent, suggested,
               round(confidence, 6) AS confidence, CAST(complexity AS INTEGER) AS complexity,
               career || '+' || suggested || '["' || array_to_string(antecedent, '","') || '"]' AS rule_id
             FROM rules""",
-        "suggest_skills": f"""WITH {_SUGGESTIONS}
+        "suggest_skills": f"""WITH RECURSIVE {_SUGGESTIONS}
             SELECT user_id, career, suggested, round(confidence, 6) AS confidence,
               CAST(complexity AS INTEGER) AS complexity, array_to_string(used, ',') AS used,
               row_number() OVER (PARTITION BY user_id, career
                 ORDER BY complexity DESC, confidence DESC, suggested DESC, used DESC) AS rank
             FROM tips""",
-        "plan_edges": f"""WITH {_EDGES}
+        "plan_edges": f"""WITH RECURSIVE {_EDGES}
             SELECT user_id, career, skill, suggested, round(strength, 6) AS strength,
               round(total, 6) AS total,
               round(pow((strength - min(strength) OVER p + 0.2) * 2
                 / (max(strength) OVER p - min(strength) OVER p + 0.2), 2), 6) AS width
             FROM edges WINDOW p AS (PARTITION BY user_id, career)""",
-        "learning_plan": f"""WITH {_EDGES},
+        "learning_plan": f"""WITH RECURSIVE {_EDGES},
             plan AS (
               SELECT user_id, career, suggested, total, any_value(n_used) AS n_used FROM edges
               JOIN (SELECT user_id, career, count(DISTINCT skill) AS n_used FROM edges GROUP BY ALL)
@@ -413,6 +411,15 @@ def _oracles() -> dict[str, str]:
             SELECT user_id, skill FROM ({_STATE}) UNION SELECT conv_id, skill FROM found""",
         "feedback_counts": _COUNTERS,
         "stream_feedback": _COUNTERS,
+        "result_pages": """SELECT s_nationkey AS page_id,
+              CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS pos,
+              s_name || ' & Co' AS title, 'http://jobs.example.com/rc/' || s_suppkey || '?a=1&b=2' AS href,
+              '/rc/' || s_suppkey || '?a=1&b=2' AS unique_url, n_name || ',' AS location
+            FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+        "stream_career_feedback": f"""SELECT career, count(*) AS n FROM (
+            SELECT unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS career FROM conversations) GROUP BY ALL""",
+        "merged_career_feedback": f"WITH {_PART_CAREERS} SELECT career, n FROM counters",
+        "decoded_references": "SELECT doc_id, text FROM documents",
         "merged_feedback": _COUNTERS,
         "ingest_pages": _crawled(),
         "stream_ingest": _crawled(),
@@ -421,7 +428,7 @@ def _oracles() -> dict[str, str]:
             SELECT source AS career, CAST(doc_id AS VARCHAR) AS unique_url,
               CAST(len(s) AS INTEGER) AS n_skills, sha256(array_to_string(s, '|')) AS skills_sha
             FROM bags JOIN documents USING (doc_id)""",
-        "latest_suggestions": f"""WITH {_SUGGESTIONS}
+        "latest_suggestions": f"""WITH RECURSIVE {_SUGGESTIONS}
             SELECT user_id, career, suggested, row_number() OVER (PARTITION BY user_id, career
               ORDER BY complexity DESC, confidence DESC, suggested DESC, used DESC) AS rank
             FROM tips QUALIFY rank <= 5""",

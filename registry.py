@@ -167,6 +167,29 @@ def listing_fields(spark, d):
     return page_source.listing_fields(S.pages(spark, d), ["page_id"], block="li")
 
 
+def result_pages(spark, d):
+    """Suppliers of each nation as a results page with places, links before and after the column."""
+    rows = S.table(spark, d, "supplier").join(
+        S.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    result = F.format_string(
+        '<h2><a href="http://jobs.example.com/rc/%d?a=1&amp;b=2" title="%s &amp; Co">x</a></h2>'
+        "<div><span class='location'><span>%s, %d (%s)</span></span></div>",
+        "s_suppkey", "s_name", "n_name", "s_suppkey", "n_name",
+    )
+    listed = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", result.alias("r")))), lambda x: x["r"]), ""
+    )
+    outside = "<h2><a href='/no'>no</a></h2>"
+    pages = rows.groupBy(F.col("n_nationkey").alias("page_id")).agg(
+        F.concat(
+            F.lit(f"<body><table><tr><td>{outside}</td><td id='resultsCol'><table><tr><td>a</td></tr></table>"),
+            listed, F.lit(f"</td><td>{outside}</td></tr></table></body>"),
+        ).alias("html")
+    )
+    return page_source.listing_fields(pages, ["page_id"])
+
+
 def ingest_new_listings(spark, d):
     seen = S.page_arrivals(S.table(spark, d, "pages"))
     return tables.new_listings(
@@ -329,12 +352,38 @@ def stream_ingest(spark, d):
 def stream_feedback(spark, d):
     path = scratch_path(spark, "stream-counts")
     flows.feedback_stream(
-        S.chat_words(S.stream_of(spark, d, "conversations")), path,
-        scratch_path(spark, "stream-state"),
+        S.chat_words(S.stream_of(spark, d, "conversations")), path
     ).awaitTermination()
     return _spelled(flows.read_feedback(spark, path))
 
 
+def stream_career_feedback(spark, d):
+    """Every chat word as a suggested career, counted by a stream."""
+    path = scratch_path(spark, "stream-careers")
+    words = S.chat_words(S.stream_of(spark, d, "conversations"))
+    flows.career_stream(words.withColumn("action", F.lit("add_career")), path).awaitTermination()
+    return flows.read_careers(spark, path)
+
+
+def merged_career_feedback(spark, d):
+    """Career counters of one half of the line items with the other half's suggestions added."""
+    from_parts = S.part_suggestions(spark, d).withColumn(
+        "half", F.pmod(F.xxhash64("suggestion", "ts"), F.lit(2))
+    )
+    stored = feedback.career_feedback(from_parts.where("half = 0"))
+    return jobs.fold_feedback(from_parts.where("half = 1"), None, stored)[1]
+
+
+def decoded_references(spark, d):
+    """Document texts written in numeric references, every character one, and decoded again."""
+    chars = F.split("text", "")
+    form = lambda c, i: F.when(
+        i % 2 == 0, F.concat(F.lit("&#"), F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10), F.lit(";"))
+    ).otherwise(F.concat(F.lit("&#x"), F.hex(F.encode(c, "UTF-32")), F.lit(";")))
+    coded = F.array_join(F.transform(chars, form), "")
+    return S.texts(spark, d).select("doc_id", X.unescape(coded).alias("text"))
+
+
 def merged_feedback(spark, d):
     """Counters of added skills first, then the other suggestions folded into them."""
     words = S.chat_feedback(spark, d)
@@ -406,6 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         listings_with_skills,
         visible_text,
         listing_fields,
+        result_pages,
         ingest_new_listings,
         new_listing_count,
         known_careers,
@@ -426,6 +476,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reextracted_listings,
         stream_ingest,
         stream_feedback,
+        stream_career_feedback,
+        merged_career_feedback,
+        decoded_references,
         merged_feedback,
         latest_suggestions,
         saved_model_careers,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,33 +17,15 @@ RESUME_HEADINGS = ["education", "publications", "philosophy"]
 # File types accepted as resumes.
 RESUME_EXTENSIONS = ["pdf"]
 
-# Common named character references of HTML, `amp` last.
-HTML_ENTITIES = [
-    ("lt", "<"),
-    ("gt", ">"),
-    ("quot", '"'),
-    ("apos", "'"),
-    ("nbsp", " "),
-    ("copy", "©"),
-    ("reg", "®"),
-    ("trade", "™"),
-    ("middot", "·"),
-    ("bull", "•"),
-    ("hellip", "…"),
-    ("ndash", "–"),
-    ("mdash", "—"),
-    ("lsquo", "‘"),
-    ("rsquo", "’"),
-    ("ldquo", "“"),
-    ("rdquo", "”"),
-    ("laquo", "«"),
-    ("raquo", "»"),
-    ("euro", "€"),
-    ("pound", "£"),
-    ("deg", "°"),
-    ("times", "×"),
-    ("amp", "&"),
-]
+# The named character references of the HTML standard, as the standard library lists them;
+# those that may lack their semicolon are listed without it, too, and have six letters at most.
+NAMED_REFERENCES = json.dumps({name: chars for name, chars in html5.items()})
+LONGEST_OPEN_NAME = max(len(name) for name in html5 if not name.endswith(";"))
+
+# Numbers that the standard reads in the Windows code page instead.
+CODE_PAGE = {
+    n: bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(0x80, 0xA0)
+}
 
 # Line breaks and blanks, as Java and RE2 character classes both read them.
 LINE_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
@@ -130,29 +115,58 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD_CLASS}]+)"), 1)
 
 
-def _numeric_reference(match: Column) -> Column:
-    """`&#65;` or `&#x41;` to its character."""
-    hexadecimal = F.regexp_extract(match, "^&#[xX]([0-9a-fA-F]+);$", 1)
-    decimal = F.regexp_extract(match, "^&#([0-9]+);$", 1)
-    digits = F.when(hexadecimal != "", hexadecimal).otherwise(
-        F.conv(decimal, 10, 16)
+def _numeric_reference(part: Column) -> Column:
+    """`&#65;` or `&#x41` to its character; no such character gives the replacement character."""
+    hexadecimal = F.ltrim(F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]+)", 1), F.lit("0"))
+    decimal = F.ltrim(F.regexp_extract(part, "^&#([0-9]+)", 1), F.lit("0"))
+    # More digits than the last code point has are beyond it.
+    number = F.when(
+        part.rlike("^&#[xX]"),
+        F.when(F.length(hexadecimal) <= 6, F.conv(hexadecimal, 16, 10).cast("long")),
+    ).otherwise(F.when(F.length(decimal) <= 7, decimal.cast("long")))
+    number = F.when((hexadecimal == "") & (decimal == ""), F.lit(0)).otherwise(number)
+    page = F.from_json(F.lit(json.dumps(CODE_PAGE)), "map<string,string>")
+    none = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    digits = F.lpad(F.hex(number), 8, "0")
+    return (
+        F.when(none, F.lit("\ufffd"))
+        .when(number.between(0x80, 0x9F), F.try_element_at(page, number.cast("string")))
+        .otherwise(F.decode(F.unhex(digits), "UTF-32"))
+    )
+
+
+def _named_reference(part: Column) -> Column:
+    """`&eacute;`, or the longest open name it begins with; anything else stays."""
+    names = F.from_json(F.lit(NAMED_REFERENCES), "map<string,string>")
+    name = F.substr(part, F.lit(2))
+    heads = [F.struct(name.alias("head"), F.lit("").alias("rest"))]
+    for length in range(LONGEST_OPEN_NAME, 1, -1):
+        head, rest = F.substring(name, 1, length), F.substr(name, F.lit(length + 1))
+        heads.append(F.struct(head.alias("head"), rest.alias("rest")))
+    found = F.transform(
+        F.array(*heads), lambda x: F.concat(F.try_element_at(names, x["head"]), x["rest"])
     )
-    return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+    return F.coalesce(F.get(F.array_compact(found), F.lit(0)), part)
 
 
 def unescape(text: Column) -> Column:
-    """Resolve numeric and common named character references."""
-    # References up to the last code point only; anything longer stays as it is.
-    reference = "&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"
-    parts = F.regexp_extract_all(text, F.lit(f"({reference}|[^&]+|&)"), 1)
+    """Resolve every character reference of the HTML standard, once, from left to right.
+
+    A numeric reference or an old name may lack its semicolon; unknown names stay as they are.
+    """
+    numeric = "&#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+    named = "&[A-Za-z][A-Za-z0-9]*;?"
+    parts = F.regexp_extract_all(text, F.lit(f"({numeric}|{named}|[^&]+|&)"), 1)
     resolved = F.array_join(
         F.transform(
-            parts, lambda p: F.when(p.rlike(f"^{reference}$"), _numeric_reference(p)).otherwise(p)
+            parts,
+            lambda p: F.when(p.rlike(f"^{numeric}$"), _numeric_reference(p))
+            .when(p.rlike(f"^{named}$"), _named_reference(p))
+            .otherwise(p),
         ),
         "",
     )
-    numeric = F.when(F.contains(text, F.lit("&#")), resolved).otherwise(text)
-    return _fold(numeric, [(f"&{name};", char) for name, char in HTML_ENTITIES])
+    return F.when(F.contains(text, F.lit("&")), resolved).otherwise(text)
 
 
 def squeeze_lines(text: Column) -> Column:

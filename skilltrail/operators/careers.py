@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
+from ..sizes import BROADCAST_BYTES, measured_bytes
 from .ranking import DIGITS, rank_with_zeros
 from .weights import pair_counts, skill_idf, term_counts, unit_vectors, weigh
 
@@ -46,21 +47,36 @@ def model_of_terms(terms: DataFrame) -> CareerModel:
 
 
 def similarities(users: DataFrame, model: CareerModel, user: str = "user_id") -> DataFrame:
-    """Rows `(user, career, sim)` for every pair with a common skill."""
+    """Rows `(user, career, sim)` for every pair with a common skill.
+
+    A model whose measured size allows is broadcast: then a user's terms stay in the task that
+    holds the user, where the sums are made, and no pair is shuffled.
+    """
     asked = unit_vectors(weigh(pair_counts(users, [user]), model.idf, ["skill"]), [user])
+    vectors = model.vectors
+    if measured_bytes(vectors) <= BROADCAST_BYTES:
+        # The user alone deals out the rows, so sums and ranks by user need no further exchange.
+        asked, vectors = asked.repartition(user), F.broadcast(vectors)
     return (
         asked.withColumnRenamed("weight", "asked")
-        .join(model.vectors, "skill")
+        .join(vectors, "skill")
         .groupBy(user, "career")
         .agg(F.round(F.sum(F.col("asked") * F.col("weight")), DIGITS).alias("sim"))
     )
 
 
 def suggest_careers(
-    users: DataFrame, model: CareerModel, k: int = 5, user: str = "user_id"
+    users: DataFrame,
+    model: CareerModel,
+    k: int = 5,
+    user: str = "user_id",
+    owners: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows `(user, career, sim, rank)`: the k careers closest to each user's skills."""
+    """Rows `(user, career, sim, rank)`: the k careers closest to each user's skills.
+
+    `owners` names the users to answer, by default those with skill rows; one without any
+    skill gets the first k careers at similarity 0.
+    """
     first = model.terms.select("career").distinct().orderBy("career").limit(k)
-    return rank_with_zeros(
-        similarities(users, model, user), users.select(user).distinct(), first, [user], "career", k
-    )
+    asking = (users if owners is None else owners).select(user).distinct()
+    return rank_with_zeros(similarities(users, model, user), asking, first, [user], "career", k)

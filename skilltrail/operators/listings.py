@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import format_career
 from ..session import cut
 from .ranking import DIGITS, rank_with_zeros, top_k
 from .weights import scoped_idf, unit_vectors, weigh
@@ -246,7 +247,12 @@ def rank_listings(
     k: int = 5,
     user: str = "user_id",
 ) -> DataFrame:
-    """Rows `(user, career, unique_url, sim, rank)`: k listings per requested career."""
+    """Rows `(user, career, unique_url, sim, rank)`: k listings per requested career.
+
+    Careers may be asked for in any spelling of the title; they come back as keys. Jobs that
+    write intermediate tables run while the plan is being built.
+    """
+    requests = requests.withColumn("career", format_career(F.col("career")))
     bags = _bags(listings, distinct=False)
     idf, vectors = listing_vectors(bags)
     asked = cut(askers_of(requests, user_skills, user))
@@ -265,6 +271,7 @@ def rank_listings_jaccard(
     user: str = "user_id",
 ) -> DataFrame:
     """The same with shared over joint distinct skills as similarity."""
+    requests = requests.withColumn("career", format_career(F.col("career")))
     bags = _bags(listings, distinct=True)
     terms = cut(
         _profiles(bags).select(

@@ -83,7 +83,8 @@ def career_pages(
     keyed = requests.withColumn("career", format_career(F.col("career")))
     known = tables.known_careers(stored)
     wanted = lookup.known_requests(keyed, known)
-    close = careers.suggest_careers(user_skills, model, k, user)
+    owners = user_skills.select(user).union(requests.select(user))
+    close = careers.suggest_careers(user_skills, model, k, user, owners)
     tips = cut(suggest.suggest_skills(wanted, user_skills, rule_table, lexicon, user))
     edges = cut(suggest.plan_edges(tips, user=user))
     ranked = listings.rank_listings(wanted, user_skills, stored, k, user)

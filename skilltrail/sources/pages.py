@@ -23,6 +23,32 @@ def _inner_text(markup: Column) -> Column:
     return squeeze_lines(unescape(F.regexp_replace(markup, "(?s)<[^>]*>", "")))
 
 
+def _element(html: Column, name: str) -> Column:
+    """Content of the element with that id, up to its own end tag; null without one."""
+    opening = rf"""(?is)<([a-z][a-z0-9]*)\b[^>]*\sid\s*=\s*(?:"{name}"|'{name}'|{name}(?=[\s>]))[^>]*>"""
+    tag = F.regexp_extract(html, opening, 1)
+    rest = F.regexp_extract(html, opening + "(.*)$", 2)
+    # Elements of the same kind inside it are counted, so that their ends do not end it.
+    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)")))
+    start = F.struct(F.lit(1).alias("open"), F.lit("").alias("content"))
+
+    def step(state, piece):
+        tagged = F.lower(piece)
+        change = (
+            F.when(tagged.startswith(F.concat(F.lit("</"), F.lower(tag))), -1)
+            .when(tagged.startswith(F.concat(F.lit("<"), F.lower(tag))), 1)
+            .otherwise(0)
+        )
+        still = state["open"] + change
+        inside = F.when(still > 0, F.concat(state["content"], piece)).otherwise(state["content"])
+        return F.when(state["open"] <= 0, state).otherwise(
+            F.struct(still.alias("open"), inside.alias("content"))
+        )
+
+    content = F.aggregate(pieces, start, step, lambda state: state["content"])
+    return F.when(html.rlike(opening), content)
+
+
 def listing_fields(
     pages: DataFrame, key: list[str], block: str = "h2", column: str = "resultsCol"
 ) -> DataFrame:
@@ -30,12 +56,9 @@ def listing_fields(
 
     A result runs from one `block` tag to the next, so a result without a location
     has none instead of its neighbour's. Where the page names a results column, only
-    that part is read.
+    what stands inside that element is read.
     """
-    results = F.when(
-        F.contains("html", F.lit(f'id="{column}"')),
-        F.substring_index("html", f'id="{column}"', -1),
-    ).otherwise(F.col("html"))
+    results = F.coalesce(_element(F.col("html"), column), F.col("html"))
     blocks = F.split(results, rf"(?i)<{block}\b")
     # The first piece lies before the first result.
     found = pages.select(

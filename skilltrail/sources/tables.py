@@ -72,13 +72,18 @@ def new_listings(
 ) -> DataFrame:
     """Rows of the batch to insert: the first per key, unless the key is stored.
 
-    The limit on row_number drops copies before the shuffle. Stored rows are never
-    changed.
+    Copies that agree in `order` are told apart by all their columns, so a repeated task
+    chooses the same one. The limit on row_number drops copies before the shuffle. Stored
+    keys are reduced to those of the batch first: a batch small enough to broadcast shuffles
+    none of the others. Stored rows are never changed.
     """
-    order = order or ["searched_at"]
-    nth = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    order = list(order or ["searched_at"])
+    ties = [F.xxhash64(*batch.columns), F.hash(*batch.columns)]
+    nth = F.row_number().over(W.partitionBy(key).orderBy(*order, *ties))
     first = batch.withColumn("nth", nth).where("nth = 1").drop("nth")
-    return first.join(stored.select(key), key, "left_anti")
+    keys = batch.select(key).distinct()
+    taken = stored.select(key).join(keys, key, "left_semi")
+    return first.join(taken, key, "left_anti")
 
 
 def stored_listings(spark: SparkSession, path: str) -> DataFrame:

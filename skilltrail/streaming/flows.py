@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.feedback import fold_spellings, spelling_counts
+from ..operators.feedback import career_feedback, fold_spellings, spelling_counts
 from ..plans.jobs import ingest_pages
 from ..session import spread
 
@@ -22,9 +22,20 @@ SPELLINGS = T.StructType(
     ]
 )
 
+CAREERS = T.StructType(
+    [
+        T.StructField("career", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("batch", T.LongType()),
+    ]
+)
+
+# One run over what has arrived; pass e.g. {"processingTime": "1 minute"} to keep running.
+ONCE = {"availableNow": True}
+
 
 def ingest_stream(
-    pages: DataFrame, lexicon: DataFrame, path: str, checkpoint: str
+    pages: DataFrame, lexicon: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE
 ) -> StreamingQuery:
     """Add arriving pages to the listing table, one row per URL over all batches.
 
@@ -39,35 +50,61 @@ def ingest_stream(
     return (
         pages.writeStream.foreachBatch(insert)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def feedback_stream(suggestions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep running counts of suggested skills.
+def _counting(counts: DataFrame, path: str, trigger: dict) -> StreamingQuery:
+    """Keep a snapshot of running counts in `path`, next to the stream's own state.
 
-    Each batch writes the counts that changed into its own folder, so repeating a batch
-    replaces its output; `read_feedback` takes the latest count of every spelling.
+    Each batch writes all counts into its own folder, so repeating a batch replaces its
+    output, and removes those before the last but one: reading never depends on how many
+    batches there were. State and snapshots share a folder, so batch numbers never mix.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        session = batch.sparkSession
+        folder = session._jvm.org.apache.hadoop.fs.Path(f"{path}/counts")
+        files = folder.getFileSystem(session._jsc.hadoopConfiguration())
+        for status in files.listStatus(folder):
+            old = status.getPath()
+            if int(old.getName().rpartition("=")[2]) < number - 1:
+                files.delete(old, True)
 
     return (
-        spelling_counts(suggestions)
-        .writeStream.outputMode("update")
+        counts.writeStream.outputMode("complete")
         .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(**trigger)
         .start()
     )
 
 
+def _latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The snapshot of the last batch."""
+    rows = spark.read.schema(schema).option("basePath", f"{path}/counts").parquet(f"{path}/counts")
+    # Folder names alone tell the last batch.
+    last = rows.agg(F.max("batch")).scalar()
+    return rows.where(F.col("batch") == last).drop("batch")
+
+
+def feedback_stream(suggestions: DataFrame, path: str, trigger: dict = ONCE) -> StreamingQuery:
+    """Keep running counts of suggested skills; `read_feedback` reads them."""
+    return _counting(spelling_counts(suggestions), path, trigger)
+
+
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """Skill counters as of the last batch."""
-    changes = spark.read.schema(SPELLINGS).option("basePath", path).parquet(path)
-    latest = changes.groupBy("action", "formatted", "spelling").agg(
-        F.max_by(F.struct("n", "last_ts"), "batch").alias("now")
-    )
-    return fold_spellings(latest.select("action", "formatted", "spelling", "now.*"))
+    return fold_spellings(_latest(spark, path, SPELLINGS))
+
+
+def career_stream(suggestions: DataFrame, path: str, trigger: dict = ONCE) -> StreamingQuery:
+    """Keep running counts of suggested careers; `read_careers` reads them."""
+    return _counting(career_feedback(suggestions), path, trigger)
+
+
+def read_careers(spark: SparkSession, path: str) -> DataFrame:
+    """Career counters as of the last batch."""
+    return _latest(spark, path, CAREERS)

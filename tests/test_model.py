@@ -27,6 +27,15 @@ def test_idf_and_cosine(spark):
     ]
 
 
+def test_users_without_skills_get_the_first_careers(spark):
+    model = fit(spark, [("d", ["a", "b"]), ("c", ["b"])])
+    owners = spark.createDataFrame([(1,), (2,)], "user_id long")
+    got = careers.suggest_careers(users_of(spark, [(1, "a")]), model, owners=owners).collect()
+    assert sorted((r.user_id, r["rank"], r.career) for r in got) == [
+        (1, 1, "d"), (1, 2, "c"), (2, 1, "c"), (2, 2, "d")
+    ]
+
+
 def test_single_document_has_no_similarity(spark):
     got = careers.suggest_careers(users_of(spark, [(1, "a")]), fit(spark, [("d", ["a", "b"])]))
     assert [(r.career, r.sim) for r in got.collect()] == [("d", 0.0)]

@@ -60,13 +60,15 @@ def test_lexicon_sources(spark, tmp_path):
     assert tables.read_lexicon(spark, str(tmp_path / "lexicon")).count() == 2
 
 
-def test_results_page(spark):
+@pytest.mark.parametrize("quoted", ['id="resultsCol"', "id='resultsCol'", "class=x id = resultsCol"])
+def test_results_page(spark, quoted):
     html = """<body><h2><a href="/no">outside</a></h2><td id="resultsCol">
       <h2 class="t"><a class="x" href="http://www.example.com/rc/1?a=1&amp;b=2" title="R&amp;D Lead">R</a></h2>
       <span><span class="location"><span>Austin, TX 78701 (Downtown)</span></span></span>
       <h2><a href="/rc/2"><b>Data</b>
       Clerk</a></h2><p>no place</p>
-      <h2>no link</h2></td></body>"""
+      <table><tr><td>inner</td></tr></table><h2>no link</h2></td><td><h2><a href="/no">after</a></h2></td></body>"""
+    html = html.replace('id="resultsCol"', quoted)
     frame = spark.createDataFrame([(1, html)], "page_id long, html string")
     got = [tuple(r)[1:] for r in pages.listing_fields(frame, ["page_id"]).orderBy("pos").collect()]
     assert got == [
@@ -226,7 +228,27 @@ def test_feedback_stream_equals_batch(spark, tmp_path):
         spark.readStream.schema(schemas.FEEDBACK).option("maxFilesPerTrigger", 1)
         .parquet(str(tmp_path / "in"))
     )
-    flows.feedback_stream(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = flows.read_feedback(spark, str(tmp_path / "out"))
+    path = str(tmp_path / "out")
+    flows.feedback_stream(source, path, {"availableNow": True}).awaitTermination()
+    got = flows.read_feedback(spark, path)
     want = feedback.skill_feedback(suggestions(spark, ROWS))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # Several batches ran, and two snapshots at most are left.
+    assert len(list((tmp_path / "out" / "counts").glob("batch=*"))) == 2
+    flows.career_stream(source, str(tmp_path / "careers")).awaitTermination()
+    got = flows.read_careers(spark, str(tmp_path / "careers"))
+    want = feedback.career_feedback(suggestions(spark, ROWS))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_copies_of_one_moment_are_chosen_alike(spark):
+    rows = [("/a", "t%d" % i, 1) for i in range(20)]
+    for parts in (1, 7):
+        batch = spark.createDataFrame(rows, "unique_url string, title string, searched_at int").repartition(parts)
+        stored = batch.where("false")
+        chosen = [r.title for r in tables.new_listings(batch, stored).collect()]
+        assert len(chosen) == 1
+        rows = rows[::-1]
+        first = chosen if parts == 1 else first
+        assert chosen == first
+    assert tables.new_listings(batch, batch.limit(1)).collect() == []

@@ -1,3 +1,4 @@
+import html
 import pytest
 
 from skilltrail.functions import charts, text as X
@@ -51,9 +52,13 @@ def test_visible_text(one):
     assert one(X.visible_text, html) == "Menu R&D <lead> role été &lt; end!"
 
 
-def test_unescape_leaves_other_references(one):
-    assert one(X.unescape, "&#1; &#99999999; & &x; &#65") is not None
-    assert one(X.unescape, "a&#128512;b & c &nope; &#65") == "a😀b & c &nope; &#65"
+def test_unescape_resolves_every_reference_once(one):
+    given = (
+        "caf&eacute; &copy 2015 &#x10FFFD; &#1114109; &#0000065; &#38;lt; &amp;lt; &#65 &#x41x &notit; &ampx; "
+        "&nope; & &; &#; &#0; &#xD800; &#9999999999; &#128; &#x9F; &NotEqualTilde; &am &CounterClockwiseContourIntegral;"
+    )
+    assert one(X.unescape, given) == html.unescape(given)
+    assert one(X.unescape, None) is None and one(X.unescape, "") == ""
 
 
 def test_titles(one):
