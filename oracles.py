@@ -414,11 +414,12 @@ def _oracles() -> dict[str, str]:
         "result_pages": """SELECT s_nationkey AS page_id,
               CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS pos,
               s_name || ' & Co' AS title, 'http://jobs.example.com/rc/' || s_suppkey || '?a=1&b=2' AS href,
-              '/rc/' || s_suppkey || '?a=1&b=2' AS unique_url, n_name || ',' AS location
+              '/rc/' || s_suppkey || '?a=1&b=2' AS unique_url,
+              regexp_replace(n_name, '[0-9]', '', 'g') || ',' AS location
             FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
         "stream_career_feedback": f"""SELECT career, count(*) AS n FROM (
             SELECT unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS career FROM conversations) GROUP BY ALL""",
-        "merged_career_feedback": f"WITH {_PART_CAREERS} SELECT career, n FROM counters",
+        "merged_career_feedback": f"WITH {_PART_CAREERS} SELECT career, 2 * n AS n FROM counters",
         "decoded_references": "SELECT doc_id, text FROM documents",
         "merged_feedback": _COUNTERS,
         "ingest_pages": _crawled(),

@@ -366,12 +366,9 @@ def stream_career_feedback(spark, d):
 
 
 def merged_career_feedback(spark, d):
-    """Career counters of one half of the line items with the other half's suggestions added."""
-    from_parts = S.part_suggestions(spark, d).withColumn(
-        "half", F.pmod(F.xxhash64("suggestion", "ts"), F.lit(2))
-    )
-    stored = feedback.career_feedback(from_parts.where("half = 0"))
-    return jobs.fold_feedback(from_parts.where("half = 1"), None, stored)[1]
+    """Career counters with the same suggestions added once more."""
+    suggestions = S.part_suggestions(spark, d)
+    return jobs.fold_feedback(suggestions, None, feedback.career_feedback(suggestions))[1]
 
 
 def decoded_references(spark, d):
