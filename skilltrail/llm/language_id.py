@@ -127,8 +127,9 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 
     Of a sampled text WINDOWS windows of up to WINDOW_CHARS characters are used, at places and
     of lengths that its hash chooses. These bounds are parameters of the fit alone: predictions
-    read whole texts. The sample is that of the smallest text hashes; a fifth of it serves to
-    calibrate. Rows without text or lang are left out.
+    read whole texts. The sample is that of the smallest hashes of distinct texts; a fifth of it
+    serves to calibrate. Rows without text or lang are left out. The broadcast counts have a
+    row for each language, as the model has a column.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         "lang", "text", F.xxhash64("text").alias("h")
@@ -139,9 +140,16 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         size = F.lit(20) + F.pmod(F.shiftright(h, 32), F.lit(WINDOW_CHARS - 19))
         start = F.pmod(h, F.greatest(F.char_length("text") - size + 1, F.lit(1)).cast("long")) + 1
         windows.append(F.substring("text", start.cast("int"), size.cast("int")))
+    # Only the lowest hashes can be among the sample; a copied text counts once.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = (F.col("h") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
     first = Window.partitionBy("lang").orderBy("h")
     rows = (
-        known.select("lang", "h", F.array(*windows).alias("windows"))
+        known.join(F.broadcast(counts), "lang")
+        .where(share * F.col("n") < 16 * sample)
+        .select("lang", "h", F.array(*windows).alias("windows"))
+        .groupBy("lang", "h")
+        .agg(F.min("windows").alias("windows"))
         .withColumn("rank", F.row_number().over(first))
         .where(F.col("rank") <= sample)
         .select("lang", "h", "windows")
