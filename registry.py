@@ -368,7 +368,7 @@ def stream_career_feedback(spark, d):
 def merged_career_feedback(spark, d):
     """Career counters with the same suggestions added once more."""
     suggestions = S.part_suggestions(spark, d)
-    return jobs.fold_feedback(suggestions, None, feedback.career_feedback(suggestions))[1]
+    return feedback.merge_career_feedback(feedback.career_feedback(suggestions), suggestions)
 
 
 def decoded_references(spark, d):
