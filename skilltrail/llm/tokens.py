@@ -7,6 +7,7 @@ those of one call over the whole text.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterator
@@ -18,10 +19,10 @@ import pyarrow.compute as pc
 from skilltrail.llm.words import plain_texts
 
 #: Words in each of the two generations of a worker's cache; longer words are not kept.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 CACHED_LENGTH = 48
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Words of these characters may be encoded in one call, as they contain no mark.
@@ -170,6 +171,14 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is reused by later stages and other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in slices with about `limit` bytes of text each, at least one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
@@ -178,6 +187,7 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) ->
         end = max(start + 1, int(np.searchsorted(ends, held + limit, side="right")))
         yield batch.slice(start, end - start)
         start, held = end, int(ends[end - 1])
+    give_back()
 
 
 def as_binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
