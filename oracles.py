@@ -290,11 +290,15 @@ _RANKED_QUERIES = [
     "suggest_skills",
     "latest_suggestions",
     "learning_plan",
+    "ranked_rules",
+    "described_listings",
 ]
 
 
 def oracle_sql() -> dict[str, str]:
     queries = _oracles()
+    queries["described_listings"] = f"""SELECT r.*, lang AS title, source AS location
+        FROM ({queries["rank_listings"]}) r JOIN documents ON unique_url = CAST(doc_id AS VARCHAR)"""
     for name in _RANKED_QUERIES:
         # Spark's row_number is a 32-bit integer.
         queries[name] = f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({queries[name]})"
@@ -344,6 +348,13 @@ def _oracles() -> dict[str, str]:
         "frequent_itemsets": f"""WITH RECURSIVE {_ITEMSETS}
             SELECT career, array_to_string(s, ',') AS items, freq, n, CAST(r AS INTEGER) AS halvings
             FROM itemsets""",
+        "ranked_rules": f"""WITH RECURSIVE {_RULES}, named AS (
+              SELECT career, complexity, round(confidence, 3) AS confidence,
+                career || '+' || suggested || '["' || array_to_string(antecedent, '","') || '"]' AS rule_id
+              FROM rules)
+            SELECT rule_id, CAST(complexity AS INTEGER) AS complexity, confidence, row_number() OVER (
+              PARTITION BY career ORDER BY complexity DESC, confidence DESC, rule_id) AS rank
+            FROM named""",
         "skill_rules": f"""WITH RECURSIVE {_RULES}
             SELECT career, array_to_string(antecedent, ',') AS antecedent, suggested,
               round(confidence, 6) AS confidence, CAST(complexity AS INTEGER) AS complexity,
@@ -379,7 +390,11 @@ def _oracles() -> dict[str, str]:
             own AS (SELECT DISTINCT user_id, brand FROM latest JOIN lines USING (user_id, career, k))
             SELECT user_id, a.brand || ',' || b.brand || ',' || c.brand AS subset
             FROM own a JOIN own b USING (user_id) JOIN own c USING (user_id)
-            WHERE a.brand < b.brand AND b.brand < c.brand""",
+            WHERE a.brand < b.brand AND b.brand < c.brand
+            UNION ALL
+            SELECT user_id, a.brand || ',' || b.brand FROM own a JOIN own b USING (user_id) WHERE a.brand < b.brand
+            UNION ALL
+            SELECT user_id, brand FROM own""",
         "known_skills": f"""WITH {_DOC_WORDS}, {_LEXICON}
             SELECT DISTINCT user_id, skill FROM said WHERE skill IN (SELECT phrase FROM lex)""",
         "user_term_counts": f"""WITH {_DOC_WORDS}

@@ -84,6 +84,23 @@ def skill_rules(spark, d):
     )
 
 
+def ranked_rules(spark, d):
+    """Rules with confidences of three digits, so that equal ones are equal on both sides."""
+    found = rules.association_rules(_mined(spark, d)[1])
+    found = found.withColumn("confidence", F.round("confidence", 3))
+    return rules.ranked_rules(found).select("rule_id", "complexity", "confidence", "rank")
+
+
+def described_listings(spark, d):
+    """Ranked listings with the language of the document as title, its source as place."""
+    named = S.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("unique_url"),
+        F.col("lang").alias("title"),
+        F.col("source").alias("location"),
+    )
+    return listings.describe_listings(rank_listings(spark, d), named)
+
+
 def _suggestions(spark, d):
     orders, itemsets = _mined(spark, d)
     wanted, owned = S.customers_as_users(orders)
@@ -129,7 +146,8 @@ def learning_plan(spark, d):
 
 def skill_subsets(spark, d):
     _, owned = S.customers_as_users(S.order_listings(spark, d))
-    return suggest.skill_subsets(owned, 3).select("user_id", _joined("subset").alias("subset"))
+    found = [suggest.skill_subsets(owned, size) for size in (3, 2, 1)]
+    return found[0].union(found[1]).union(found[2]).select("user_id", _joined("subset").alias("subset"))
 
 
 def known_skills(spark, d):
@@ -441,6 +459,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         jaccard_listings,
         frequent_itemsets,
         skill_rules,
+        ranked_rules,
+        described_listings,
         suggest_skills,
         plan_edges,
         learning_plan,

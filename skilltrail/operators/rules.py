@@ -4,7 +4,7 @@ Support starts at 1/2 and is halved until a career has enough frequent itemsets.
 careers are mined together. Item counts alone tell how many halvings cannot suffice
 (m frequent items have at most 2^m - 1 itemsets), and one pass looks several halvings
 ahead: after every itemset size the lowest support still needed is recomputed per
-career, so no career is mined deeper than its own final support.
+career, so from the third size on no career is mined deeper than its own final support.
 """
 
 from __future__ import annotations
@@ -235,3 +235,9 @@ def rule_id(career: Column, suggested: Column, antecedent: Column) -> Column:
 def ordered_rules(rules: DataFrame) -> DataFrame:
     """Most specific, then most confident rules first."""
     return rules.orderBy(F.desc("complexity"), F.desc("confidence"), "rule_id")
+
+
+def ranked_rules(rules: DataFrame) -> DataFrame:
+    """The same order inside each career, as `rank`."""
+    order = [F.desc("complexity"), F.desc("confidence"), "rule_id"]
+    return rules.withColumn("rank", F.row_number().over(W.partitionBy("career").orderBy(*order)))
