@@ -166,7 +166,7 @@ _LEXICON = f"""
 passage AS (
   SELECT item_id, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM benchmark),
 mentions AS (
-  SELECT item_id * 100000 + i AS ord, w[i + 1] AS a, w[i + 2] AS b
+  SELECT item_id * 4294967296 + i AS ord, w[i + 1] AS a, w[i + 2] AS b
   FROM (SELECT item_id, w, unnest(range(len(w))) AS i FROM passage)),
 lex AS (
   SELECT phrase, min(ord) AS ord, {_strip(_normal('phrase'))} AS formatted FROM (

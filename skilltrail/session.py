@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -59,15 +60,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+# Names of the open scopes, outermost first.
+_scopes: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the checkpoint folder, below one folder per application.
+    """A new path in the checkpoint folder, below one folder per application and open scope.
 
-    Nothing is deleted while the application may still read it; remove the
-    application's folder when it has ended.
+    Nothing is deleted while the application may still read it: a scope removes its folder
+    when it ends, the rest is removed with the application's folder.
     """
     folder = ensure_checkpoint_dir(spark).rstrip("/")
-    application = spark.sparkContext.applicationId
-    return f"{folder}/skilltrail/{application}/{name}-{uuid.uuid4().hex}"
+    inside = "/".join([spark.sparkContext.applicationId, *_scopes])
+    return f"{folder}/skilltrail/{inside}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove, at the end, all intermediate tables that were cut inside.
+
+    Results have to be written before the scope ends; frames made inside it cannot be read
+    afterwards.
+    """
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    folder = scratch_path(spark, "x").rpartition("/")[0]
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def passage_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         words.select("item_id", F.inline(phrases))
         .select(
-            (F.col("item_id") * 100000 + F.col("pos")).alias("ord"),
+            (F.shiftleft("item_id", 32) + F.col("pos")).alias("ord"),
             F.explode("phrases").alias("skill"),
         )
         .groupBy("skill")

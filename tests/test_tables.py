@@ -252,3 +252,18 @@ def test_copies_of_one_moment_are_chosen_alike(spark):
         first = chosen if parts == 1 else first
         assert chosen == first
     assert tables.new_listings(batch, batch.limit(1)).collect() == []
+
+
+def test_scopes_remove_their_tables(spark):
+    import os
+
+    from skilltrail import session
+
+    outer = session.cut(spark.range(3))
+    with session.scratch_scope(spark):
+        with session.scratch_scope(spark):
+            assert session.cut(spark.range(5)).count() == 5
+        inside = session.cut(spark.range(4)).inputFiles()
+        assert inside
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in inside)
+    assert outer.count() == 3
