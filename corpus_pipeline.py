@@ -15,6 +15,7 @@ from skilltrail.llm.near_dup import deduplicated
 from skilltrail.llm.packing import pack_documents
 from skilltrail.llm.quality_model import accepted, fitted
 from skilltrail.llm.quality_rules import judged, measured
+from skilltrail.llm.tokens import small_batches
 from skilltrail.llm.training import fold
 from skilltrail.session import cut
 
@@ -48,12 +49,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
+def bounded(stage):
+    """The stage in a session that hands texts to Python in small batches."""
+    return lambda spark, docs, sf_dir: stage(small_batches(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("quality_model", quality_model),
-    ("quality_rules", quality_rules),
-    ("near_dup", near_dup),
-    ("decontamination", decontamination),
-    ("packing", packing),
+    (stage.__name__, bounded(stage))
+    for stage in (quality_model, quality_rules, near_dup, decontamination, packing)
 ]
 
 # Learned scores, sketches and token ids: SQL cannot express them.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skilltrail.llm.tokens import text_slices
+from skilltrail.llm.tokens import give_back, text_slices
 from skilltrail.llm.words import mixed, split_words, word_hashes
 from skilltrail.session import cut, cut_counted
 
@@ -298,6 +298,7 @@ def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataF
                     [pa.array([f[i] for f in found], kind) for i, kind in enumerate([pa.int64()] * 4 + [pa.float64()])],
                     names=["a", "b", "ca", "cb", "estimate"],
                 )
+            give_back()
 
     pairs = groups.select("key", "i", "j", "members").mapInArrow(
         compare, "a long, b long, ca long, cb long, estimate double"

@@ -15,23 +15,31 @@ from skilltrail.llm.quality_model import op5_quality_model
 from skilltrail.llm.quality_rules import OP7_SQL, op7_quality_rules
 from skilltrail.llm.sharding import op1_sharding
 from skilltrail.llm.token_files import op6_token_files
+from skilltrail.llm.tokens import small_batches
 from skilltrail.llm.url_filter import op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name; each takes `(spark, sf_dir)`."""
-    return {
-        "op1_sharding": op1_sharding,
-        "op2_packing": op2_packing,
-        "op3_html_text": op3_html_text,
-        "op4_language_id": op4_language_id,
-        "op5_quality_model": op5_quality_model,
-        "op6_token_files": op6_token_files,
-        "op7_quality_rules": op7_quality_rules,
-        "op8_near_dup": op8_near_dup,
-        "op9_url_filter": op9_url_filter,
-        "op10_decontamination": op10_decontamination,
-    }
+
+    def bound(query):
+        return lambda spark, sf_dir: query(small_batches(spark), sf_dir)
+
+    return {name: bound(query) for name, query in QUERIES.items()}
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_packing": op2_packing,
+    "op3_html_text": op3_html_text,
+    "op4_language_id": op4_language_id,
+    "op5_quality_model": op5_quality_model,
+    "op6_token_files": op6_token_files,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_near_dup": op8_near_dup,
+    "op9_url_filter": op9_url_filter,
+    "op10_decontamination": op10_decontamination,
+}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,14 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 from skilltrail.llm.words import plain_texts
 
 #: Words in each of the two generations of a worker's cache; longer words are not kept.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 CACHED_LENGTH = 48
+#: Rows that Spark hands to a task's Python at once; whole texts are large rows.
+BATCH_ROWS = 512
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Words of these characters may be encoded in one call, as they contain no mark.
@@ -171,6 +174,12 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, set to hand rows over in small batches: both sides hold one at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker is reused by later stages and other operators."""
     pa.default_memory_pool().release_unused()
