@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from skilltrail.llm.decontamination import benchmark_hits, decontaminated, edits_within, may_be_within
+from skilltrail.llm.decontamination import all_least_edits, benchmark_hits, decontaminated, edits_within, may_be_within
 
 
 def brute(item, text):
@@ -85,3 +85,46 @@ def test_odd_rows(spark):
     assert benchmark_hits(docs.limit(0), bench).collect() == []
     assert benchmark_hits(docs, bench.limit(0)).collect() == []
     assert decontaminated(docs, bench.limit(0)).count() == 5
+
+
+def test_distances_in_step_equal_brute_force():
+    rng = random.Random(16)
+    texts = ["".join(rng.choices("abc é", k=rng.randint(1, 300))) for _ in range(80)]
+    items = ["".join(rng.choices("abc é", k=rng.choice([1, 5, 63, 64, 65, 128, 150]))) for _ in range(80)]
+    found, ends = all_least_edits(items, texts)
+    for item, text, edits, end in zip(items, texts, found.tolist(), ends.tolist(), strict=True):
+        assert edits == brute(item, text) == brute(item[::-1], text[:end][::-1])
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+def test_every_edited_copy_is_found(spark, share):
+    """Random edits, and one at equal steps, so that few words and no long run of letters stay whole."""
+    rng = random.Random(int(share * 100))
+    items = [(i, " ".join(invented(rng, n))) for i, n in enumerate([1, 2, 3, 8, 15, 16, 30, 70] * 3)]
+    rows = []
+    for number in range(240):
+        chars = list(items[number % len(items)][1])
+        count = int(len(chars) * share)
+        places = [int((i + 0.5) / share) for i in range(count)] if number % 2 else rng.choices(range(len(chars)), k=count)
+        for at in sorted(places, reverse=True):
+            at = min(at, len(chars) - 1)
+            chars[at : at + 1] = rng.choice([[], [rng.choice("xyzé")], [chars[at], "q"]])
+        around = [" ".join(invented(rng, rng.randint(0, 60))) for _ in range(2)]
+        rows.append((number, f"{around[0]} {''.join(chars)} {around[1]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.edits for r in benchmark_hits(docs, bench).collect()}
+    for number, text in rows:
+        text, (item_id, item) = " ".join(text.lower().split()), items[number % len(items)]
+        edits = brute(item, text)
+        assert found.get((number, item_id)) == (edits if edits <= int(len(item) * 0.2) else None)
+
+
+def test_long_items(spark):
+    """Items longer than what is searched at a time, at all places of a text."""
+    rng = random.Random(5)
+    items = [(i, " ".join(invented(rng, 4500))) for i in range(2)]
+    rows = [(i, " ".join([*invented(rng, 2500 * i), items[i % 2][1], "end"])) for i in range(4)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.edits, r.begin_word) for r in benchmark_hits(docs, bench).collect()}
+    assert found == {(i, i % 2): (0, 2500 * i) for i in range(4)}
