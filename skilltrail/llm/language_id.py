@@ -140,8 +140,8 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         size = F.lit(20) + F.pmod(F.shiftright(h, 32), F.lit(WINDOW_CHARS - 19))
         start = F.pmod(h, F.greatest(F.char_length("text") - size + 1, F.lit(1)).cast("long")) + 1
         windows.append(F.substring("text", start.cast("int"), size.cast("int")))
-    # Only the lowest hashes can be among the sample; a copied text counts once.
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Only the lowest hashes can be among the sample; a copied text counts once, here too.
+    counts = known.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = (F.col("h") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
     first = Window.partitionBy("lang").orderBy("h")
     rows = (

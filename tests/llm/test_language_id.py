@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from skilltrail.llm.language_id import GRAMS, fitted, gram_ids, op4_language_id, predicted
+from skilltrail.llm.language_id import GRAMS, WINDOWS, LanguageModel, fitted, gram_ids, op4_language_id, predicted
 from skilltrail.llm.quality_model import text_bytes
 
 
@@ -45,3 +45,16 @@ def test_held_out_accuracy(spark):
     right = [found[d.doc_id].lang_pred == d.lang for d in docs if found[d.doc_id].held_out and d.lang]
     assert np.mean(right) > 0.97
     assert np.mean([found[d.doc_id].rejected for d in docs]) < 0.2
+
+
+def test_copies_do_not_shrink_the_sample(spark, monkeypatch):
+    """100,000 copies of one text leave as many of a language's other texts as without them."""
+    used = []
+    for step in ("fit", "calibrate"):
+        monkeypatch.setattr(LanguageModel, step, lambda self, ids, bounds, labels: used.extend(labels.tolist()))
+    texts = spark.range(200).selectExpr("concat('text of number ', id, ' and some more') text", "'en' lang")
+    copies = spark.range(100_000).selectExpr("'one text that was copied very often' text", "'en' lang")
+    other = spark.range(30).selectExpr("concat('otro texto que va con el ', id) text", "'es' lang")
+    model = fitted(texts.unionByName(copies).unionByName(other), sample=5)
+    assert model.languages == ["en", "es"]
+    assert [used.count(label) for label in (0, 1)] == [5 * WINDOWS] * 2
