@@ -89,3 +89,20 @@ def test_whole_table(spark):
     for r in got:
         parts = urlsplit(pages[r.page_id])
         assert (r.host, r.path) == (parts.netloc.lower(), parts.path)
+
+
+def test_counts_stay_exact_for_many_contexts(spark):
+    """About 190,000 distinct contexts of five characters: scores equal plain counts."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_~"
+    rows = [("http://" + "".join(rng.choices(letters, k=40)), i % 2 == 0) for i in range(5000)]
+    model = fitted(spark.createDataFrame(rows, "url string, accepted boolean"))
+    tried = [rows[0][0], rows[1][0], "http://abc-def"]
+    found = model.scores(*text_bytes(pa.array(tried)))
+    sides = [{u for u, accepted in rows if accepted is side} for side in (True, False)]
+    frame = spark.createDataFrame([(u,) for u in [*tried, tried[0], None]], "url string")
+    whole = {r.url: r.score for r in scored(frame, model).collect()}
+    for url, score in zip(tried, found, strict=True):
+        assert abs(score - brute(*sides, url)) < 1e-9
+        assert abs(whole[url] - score) < 1e-12
+    assert abs(whole[None] - brute(*sides, "")) < 1e-9
