@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skilltrail.llm.decontamination import op10_decontamination
+from skilltrail.llm.fingerprints import op11_fingerprints
 from skilltrail.llm.html_text import op3_html_text
 from skilltrail.llm.language_id import op4_language_id
 from skilltrail.llm.near_dup import op8_near_dup
@@ -39,6 +40,7 @@ QUERIES = {
     "op8_near_dup": op8_near_dup,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 
