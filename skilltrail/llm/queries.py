@@ -18,6 +18,7 @@ from skilltrail.llm.sharding import op1_sharding
 from skilltrail.llm.token_files import op6_token_files
 from skilltrail.llm.tokens import small_batches
 from skilltrail.llm.url_filter import op9_url_filter
+from skilltrail.llm.vector_codes import OP12_SQL, op12_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -41,6 +42,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
     "op11_fingerprints": op11_fingerprints,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 
@@ -48,4 +50,5 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query that SQL can express."""
     return {
         "op7_quality_rules": OP7_SQL,
+        "op12_vector_codes": OP12_SQL,
     }
