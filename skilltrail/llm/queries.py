@@ -19,6 +19,7 @@ from skilltrail.llm.token_files import op6_token_files
 from skilltrail.llm.tokens import small_batches
 from skilltrail.llm.url_filter import op9_url_filter
 from skilltrail.llm.vector_codes import OP12_SQL, op12_vector_codes
+from skilltrail.llm.whitening import op13_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -43,6 +44,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_fingerprints": op11_fingerprints,
     "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
 
