@@ -38,12 +38,13 @@ def fit_career_model(listings: DataFrame) -> CareerModel:
 def model_of_terms(terms: DataFrame) -> CareerModel:
     """Fit from counted terms `(career, skill, tf)`.
 
-    The counts are written once, so the listings are scanned once.
+    Counts and vectors are written once: the listings are scanned once, and a model that is
+    measured before it is broadcast is not worked out twice.
     """
     terms = cut(terms)
     n_careers = terms.select("career").distinct().agg(F.count("*")).scalar()
     idf = cut(skill_idf(terms, n_careers))
-    return CareerModel(terms, idf, unit_vectors(weigh(terms, idf, ["skill"]), ["career"]))
+    return CareerModel(terms, idf, cut(unit_vectors(weigh(terms, idf, ["skill"]), ["career"])))
 
 
 def similarities(users: DataFrame, model: CareerModel, user: str = "user_id") -> DataFrame:

@@ -5,15 +5,18 @@ the same skill bag have the same similarity to everyone, so the search runs over
 distinct bags (and distinct askers) and expands to listings at the end; a career in
 which a third of the listings are copies costs one bag.
 
-The search is exact but does not touch every listing that shares a skill. A listing
-that holds only some weak skills N of an asker scores at most the length of the asker's
-vector on N (Cauchy-Schwarz). Where that stays below a score k listings are known to
-reach, N cannot bring new candidates: its postings (the skills nearly every listing
-has) are only used to complete candidates found through the stronger skills.
+The search is exact but does not read every posting of an asker's skills. The postings
+of a career and skill lie in levels of falling impact (a weight, or a set size), each cut
+into blocks of bounded size; a short list is one block. A first round reads a few blocks of the greatest impact per
+asker; the score that k profiles reach there tells which levels could still hold a
+profile that beats it, and only their blocks are read in the second round. Levels left
+unread are looked up for the few pairs that their bounds leave in question.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,13 +24,20 @@ from pyspark.sql import functions as F
 from ..functions.text import format_career
 from ..session import cut
 from .ranking import DIGITS, rank_with_zeros, top_k
-from .weights import scoped_idf, unit_vectors, weigh
+from .weights import scoped_idf, weigh
 
 # Wider than the rounding of a reported similarity.
 _SLACK = 2e-6
 
-# Best postings per skill looked at for a first bound, as a multiple of k.
-_INDEX_DEPTH = 4
+# Postings of a block, about. A shorter list is one block of the level -1; a longer one has
+# levels, and as many parts in each as would hold the list in blocks of this size.
+BLOCK_POSTINGS = 512
+
+# Levels per halving of a weight or doubling of a set size, and the last of all levels.
+_STEPS, _LAST_LEVEL = 4, 48
+
+# Postings per asker read in the first round, as a multiple of k.
+_FIRST_ROUND = 64
 
 
 def _digest(value: Column) -> Column:
@@ -57,10 +67,13 @@ def askers_of(requests: DataFrame, user_skills: DataFrame, user: str = "user_id"
 
 
 def _bags(listings: DataFrame, distinct: bool) -> DataFrame:
-    """Rows `(career, unique_url, bag, name)`: sorted skills and the name of that bag."""
+    """Rows `(career, unique_url, bag, name)`: sorted skills and the name of that bag.
+
+    Written once: later passes read the names without the bags.
+    """
     words = F.transform("skills", F.lower)
     words = F.array_distinct(words) if distinct else words
-    return (
+    return cut(
         listings.where(F.size("skills") > 0)
         .select(
             "career",
@@ -71,8 +84,12 @@ def _bags(listings: DataFrame, distinct: bool) -> DataFrame:
     )
 
 
-def _profiles(bags: DataFrame) -> DataFrame:
-    """Distinct bags per career; a profile is called by the first URL that has it."""
+def _profile_terms(bags: DataFrame) -> DataFrame:
+    """Rows `(career, profile, copies, n_listed, skill, tf)` of distinct bags.
+
+    A profile is called by the first URL that has its bag. The name stays a key to the end,
+    so the counts need no exchange beyond the one that brings equal bags together.
+    """
     return (
         bags.groupBy("career", "name")
         .agg(
@@ -80,6 +97,12 @@ def _profiles(bags: DataFrame) -> DataFrame:
             F.count("*").alias("copies"),
             F.first("bag").alias("bag"),
         )
+        .select(
+            "career", "name", "profile", "copies", F.size("bag").alias("n_listed"),
+            F.explode("bag").alias("skill"),
+        )
+        .groupBy("career", "name", "profile", "copies", "n_listed", "skill")
+        .agg(F.count("*").alias("tf"))
         .drop("name")
     )
 
@@ -108,6 +131,73 @@ def _expand(
     return asked.select(user, "asker").join(ranked, "asker").drop("asker")
 
 
+@dataclass
+class Index:
+    """Postings of the asked skills.
+
+    `postings(career, skill, n_listing, level, profile, value)` flat, for single look-ups, and
+    `blocks(career, skill, level, part, n, top, listed)`, where `listed` holds some
+    `(profile, value)` of a level and `top` the greatest value in it.
+    """
+
+    postings: DataFrame
+    blocks: DataFrame
+
+    @staticmethod
+    def build(postings: DataFrame, level: Column, block: int = BLOCK_POSTINGS) -> Index:
+        """From `(career, skill, n_listing, profile, value)`; short lists get the level -1.
+
+        `n_listing` counts the listings with the skill, so that a hot skill has many parts and
+        no block, and no group in building it, grows with its list.
+        """
+        flat = cut(
+            postings.withColumn(
+                "level", F.when(F.col("n_listing") <= block, F.lit(-1)).otherwise(level)
+            )
+        )
+        parts = F.greatest(F.lit(1), F.ceil(F.col("n_listing") / block)).cast("long")
+        blocks = flat.groupBy(
+            "career", "skill", "level", F.pmod(F.xxhash64("profile"), parts).alias("part")
+        ).agg(
+            F.count("*").alias("n"),
+            F.max("value").alias("top"),
+            F.collect_list(F.struct("profile", "value")).alias("listed"),
+        )
+        return Index(flat, cut(blocks))
+
+    def levels(self) -> DataFrame:
+        """Rows `(career, skill, level, n, top, first, n_first)`; `first` is a part of the level."""
+        return self.blocks.groupBy("career", "skill", "level").agg(
+            F.sum("n").alias("n"),
+            F.max("top").alias("top"),
+            F.min("part").alias("first"),
+            F.min_by("n", "part").alias("n_first"),
+        )
+
+    def read(self, wanted: DataFrame, on: list[str]) -> DataFrame:
+        """The wanted rows with `profile` and `value` of every posting of their blocks."""
+        kept = [c for c in wanted.columns if c not in on]
+        return wanted.join(self.blocks.select(*on, "listed"), on).select(
+            *on, *kept, F.inline("listed")
+        )
+
+
+_LEVEL, _BLOCK = ["career", "skill", "level"], ["career", "skill", "level", "part"]
+
+
+def _first_round(plan: DataFrame, k: int, order: list[Column]) -> DataFrame:
+    """Blocks to read first: one part of each level, in order, until they hold enough postings."""
+    so_far = F.sum("n_first").over(
+        W.partitionBy("asker").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    )
+    return (
+        plan.withColumn("so_far", F.coalesce(so_far, F.lit(0)))
+        .where(F.col("so_far") < k * _FIRST_ROUND)
+        .withColumnRenamed("first", "part")
+        .drop("so_far", "n", "top", "n_first")
+    )
+
+
 def _known_score(reached: DataFrame, k: int) -> DataFrame:
     """Rows `(asker, known)`: a score that k profiles of the asker reach."""
     return (
@@ -117,126 +207,237 @@ def _known_score(reached: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _mark_weak(terms: DataFrame, known: DataFrame, reach: Column) -> DataFrame:
-    """Asker terms with `weak` and `known`.
+def _with_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    return rows.join(known, "asker", "left").withColumn("known", F.coalesce("known", F.lit(0.0)))
 
-    `reach` is the most that listings can score which share only this skill and those
-    ranked weaker; a skill is weak while that stays below the known score.
-    """
-    return (
-        terms.join(known, "asker", "left")
-        .withColumn("known", F.coalesce("known", F.lit(0.0)))
-        .withColumn("reach", reach)
-        .withColumn("weak", F.col("reach") + F.lit(_SLACK) < F.col("known"))
-    )
 
+def weight_level(weight: Column) -> Column:
+    """Level of a weight in (0, 1]: quarters of halvings, the smallest weights together."""
+    return F.least(F.floor(-F.log2(weight) * _STEPS), F.lit(_LAST_LEVEL)).cast("int")
 
-def _search(
-    terms: DataFrame, postings: DataFrame, value: Column, best_case: Column, carried: list[str]
-) -> DataFrame:
-    """Rows `(asker, career, profile, total, *carried)` of all possible top-k profiles.
 
-    Strong skills find the candidates; those whose `best_case` stays below the known
-    score are dropped; weak skills are then looked up for the remaining pairs only.
+def size_level(size: Column) -> Column:
+    """Level of a set size: small sizes by themselves, then quarters of doublings, without end."""
+    return F.when(size <= 16, size).otherwise(
+        16 + F.floor(F.log2(size / 16) * _STEPS)
+    ).cast("int")
+
+
+def _marked_by_impact(plan: DataFrame) -> DataFrame:
+    """Levels with `unread` and, of what an asker leaves unread, the bounds it keeps.
+
+    Levels are left in rising impact while profiles found in nothing else stay below the known
+    score. Such a profile has at most the impact of the greatest unread level of each skill,
+    added up (`sums`); and, as listed vectors have length one, at most the length of the asker's
+    vector on these skills (`squares`, Cauchy-Schwarz).
     """
-    pair = ["asker", "career", "profile", *carried]
+    weakest = W.partitionBy("asker", "skill").orderBy("impact", F.desc("level"))
+    rising = (
+        W.partitionBy("asker").orderBy("impact", "skill", F.desc("level")).rowsBetween(W.unboundedPreceding, 0)
+    )
+    below = F.lag("impact").over(weakest)
+    stepped = plan.withColumn("impact", F.col("asked") * F.col("top")).withColumns(
+        {
+            "added": F.col("impact") - F.coalesce(below, F.lit(0.0)),
+            "square": F.when(below.isNull(), F.col("asked") ** 2).otherwise(0.0),
+        }
+    )
+    bound = F.least(F.sum("added").over(rising), F.sqrt(F.sum("square").over(rising)))
+    return stepped.withColumn("unread", bound + F.lit(_SLACK) < F.col("known")).drop("added", "square")
+
+
+def _cosine(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """Exact similarities of every profile that may be among an asker's first k."""
+    product = F.col("asked") * F.col("value")
+    levels = asked.join(index.levels(), ["career", "skill"])
+    # Adding up only what the first blocks show never exceeds the whole similarity.
+    falling = [F.desc(F.col("asked") * F.col("top")), F.col("skill"), F.col("level")]
+    reached = (
+        index.read(_first_round(levels, k, falling), _BLOCK)
+        .groupBy("asker", "profile")
+        .agg(F.sum(product).alias("score"))
+    )
+    plan = _marked_by_impact(_with_known(levels, _known_score(reached, k)))
+    # Per skill what its unread levels can still bring, and the level from which they are unread.
+    left = F.when(F.col("unread"), F.col("impact"))
+    skill, asker = W.partitionBy("asker", "skill"), W.partitionBy("asker")
+    plan = plan.withColumns(
+        {
+            "left": F.coalesce(F.max(left).over(skill), F.lit(0.0)),
+            "from": F.min(F.when(F.col("unread"), F.col("level"))).over(skill),
+            "one": F.row_number().over(skill.orderBy("level")) == 1,
+        }
+    )
+    some = F.when(F.col("one") & F.col("from").isNotNull(), F.col("left"))
+    plan = cut(
+        plan.withColumns(
+            {
+                "sums": F.coalesce(F.sum(some).over(asker), F.lit(0.0)),
+                "squares": F.coalesce(
+                    F.sum(F.when(some.isNotNull(), F.col("asked") ** 2)).over(asker), F.lit(0.0)
+                ),
+            }
+        )
+    )
+    wanted = plan.where("not unread").select(
+        *_LEVEL, "asker", "asked", "left", "known", "sums", "squares", F.col("from").isNotNull().alias("halved")
+    )
     found = (
-        terms.where("not weak")
-        .join(postings, ["career", "skill"])
-        .groupBy(*pair)
+        index.read(wanted, _LEVEL)
+        .groupBy("asker", "career", "profile")
         .agg(
-            F.sum(value).alias("part"),
-            F.first("tail").alias("tail"),
+            F.sum(product).alias("part"),
+            F.sum("left").alias("met"),
+            F.sum(F.when(F.col("halved"), F.col("asked") ** 2).otherwise(0.0)).alias("met_squares"),
             F.first("known").alias("known"),
+            F.first("sums").alias("sums"),
+            F.first("squares").alias("squares"),
         )
-        .where(best_case + F.lit(_SLACK) >= F.col("known"))
     )
-    weak = terms.where("weak").drop("career", "known", "tail", "weak", *carried)
-    rest = (
-        found.where("tail > 0")
-        .select(*pair)
-        .join(weak, "asker")
-        .join(postings.drop(*carried), ["career", "profile", "skill"])
-        .select(*pair, value.alias("part"))
+    # A skill met in a read level is in no unread one.
+    rest = F.least(
+        F.col("sums") - F.col("met"),
+        F.sqrt(F.greatest(F.col("squares") - F.col("met_squares"), F.lit(0.0))),
+    )
+    open_pairs = _contenders(found, F.col("part"), F.col("part") + rest, k)
+    unread = plan.where("one and from is not null").select("asker", "skill", "asked", "from")
+    missing = (
+        open_pairs.where("sums > 0")
+        .select("asker", "career", "profile")
+        .join(unread, "asker")
+        .join(index.postings, ["career", "profile", "skill"])
+        .where("level >= from")
+        .select("asker", "career", "profile", product.alias("part"))
     )
     return (
-        found.select(*pair, "part")
-        .unionByName(rest)
-        .groupBy(*pair)
-        .agg(F.sum("part").alias("total"))
+        open_pairs.select("asker", "career", "profile", "part")
+        .unionByName(missing)
+        .groupBy("asker", "career", "profile")
+        .agg(F.round(F.sum("part"), DIGITS).alias("sim"))
     )
 
 
-def _cosine(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Exact similarities of every profile that may be among an asker's first k."""
-    product = F.col("asked") * F.col("weight")
-    index = top_k(
-        vectors, ["career", "skill"], [F.desc("weight"), F.col("profile")], k * _INDEX_DEPTH
+def _contenders(found: DataFrame, reached: Column, best_case: Column, k: int) -> DataFrame:
+    """Pairs whose best case may still be among the asker's first k; written once."""
+    scored = found.withColumns({"score": reached, "best": best_case})
+    better = _known_score(scored, k).withColumnRenamed("known", "better")
+    return cut(
+        scored.join(better, "asker", "left")
+        .where(F.col("best") + F.lit(_SLACK) >= F.greatest("known", F.coalesce("better", F.lit(0.0))))
+        .drop("better", "best", "score")
     )
-    # Adding up only what the index shows never exceeds the whole similarity.
+
+
+def _overlap(shared: Column, listed: Column) -> Column:
+    return shared / (F.col("n_asked") + listed - shared)
+
+
+def _jaccard(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """The same for shared over joint skills.
+
+    Levels are set sizes, and `value` is a profile's size. Of a level whose least size is l, a
+    profile that has only m of an asker's skills scores at most m / (asked + max(l, m) - m);
+    the m commonest skills of the level are left unread while that stays below the known score.
+    """
+    levels = asked.join(index.levels(), ["career", "skill"]).withColumn("least", -F.col("top"))
+    count, size = F.count("*").alias("shared"), F.col("n_listed")
+    potential = F.least("n_asked", "least") / F.greatest("n_asked", "least")
+    order = [F.desc(potential), F.col("n_first"), F.col("skill"), F.col("level")]
     reached = (
-        asked.join(index, ["career", "skill"])
-        .groupBy("asker", "profile")
-        .agg(F.sum(product).alias("score"))
+        index.read(_first_round(levels, k, order), _BLOCK)
+        .withColumn("n_listed", -F.col("value"))
+        .groupBy("asker", "profile", "n_asked", "n_listed")
+        .agg(count)
+        .withColumn("score", _overlap(F.col("shared"), size))
+    )
+    known = _with_known(levels, _known_score(reached, k))
+    commonest = W.partitionBy("asker", "level").orderBy(F.desc("n"), "skill")
+    m = F.row_number().over(commonest)
+    # The least size of the level, over all of the asker's skills.
+    least = F.min("least").over(W.partitionBy("asker", "level"))
+    low = _overlap(m, F.greatest(least, m)) + F.lit(_SLACK) < F.col("known")
+    # Short lists are of all sizes, and read in any case.
+    plan = cut(known.withColumn("unread", (F.col("level") >= 0) & low))
+    pair = ["asker", "career", "profile", "n_asked", "n_listed"]
+    found = (
+        index.read(plan.where("not unread").select(*_LEVEL, "asker", "n_asked", "known"), _LEVEL)
+        .withColumn("n_listed", -F.col("value"))
+        .groupBy(*pair)
+        .agg(count, F.first("known").alias("known"))
+        .withColumn("level", size_level(size))
     )
-    weakest_first = (
-        W.partitionBy("asker").orderBy("asked", "skill").rowsBetween(W.unboundedPreceding, 0)
+    unread = plan.where("unread").select("asker", "level", "skill")
+    tails = unread.groupBy("asker", "level").agg(F.count("*").alias("tail"))
+    found = found.join(tails, ["asker", "level"], "left").withColumn(
+        "tail", F.coalesce("tail", F.lit(0))
     )
-    length = F.sqrt(F.sum(F.col("asked") ** 2).over(weakest_first))
-    marked = _mark_weak(asked, _known_score(reached, k), length)
-    tail = F.max(F.when(F.col("weak"), F.col("reach"))).over(W.partitionBy("asker"))
-    terms = cut(marked.withColumn("tail", F.coalesce(tail, F.lit(0.0))).drop("reach"))
-    return _search(terms, vectors, product, F.col("part") + F.col("tail"), []).withColumn(
-        "sim", F.round("total", DIGITS)
+    most = F.col("shared") + F.least(F.col("tail"), size - F.col("shared"))
+    open_pairs = _contenders(found, _overlap(F.col("shared"), size), _overlap(most, size), k)
+    missing = (
+        open_pairs.where("tail > 0")
+        .select(*pair, "level")
+        .join(unread, ["asker", "level"])
+        .join(index.postings.select("career", "profile", "skill"), ["career", "profile", "skill"])
+        .select(*pair, F.lit(1).cast("long").alias("shared"))
+    )
+    return (
+        open_pairs.select(*pair, "shared")
+        .unionByName(missing)
+        .groupBy(*pair)
+        .agg(F.sum("shared").alias("total"))
+        .withColumn("sim", F.round(_overlap(F.col("total"), size), DIGITS))
     )
 
 
-def _overlap(shared: Column) -> Column:
-    return shared / (F.col("n_asked") + F.col("n_listed") - shared)
+def _asked_only(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Only rows of a career and skill that someone asks for are ever looked at."""
+    return rows.join(asked.select("career", "skill").distinct(), ["career", "skill"], "left_semi")
 
 
-def _jaccard(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The same for shared over joint skills.
+def _cosine_index(bags: DataFrame, askers: DataFrame) -> tuple[Index, DataFrame]:
+    """Index of the profiles' unit vectors, and the askers' unit vectors.
 
-    A listing that shares only the m most frequent skills of an asker with n skills
-    scores at most m / n.
+    Lengths are added up from all skills, postings are kept for asked skills alone.
     """
-    index = top_k(
-        postings, ["career", "skill"], [F.col("n_listed"), F.col("profile")], k * _INDEX_DEPTH
+    terms = _profile_terms(bags)
+    sizes = bags.groupBy("career").agg(F.count("*").alias("n_docs"))
+    idf = scoped_idf(terms, sizes, ["career"], "copies")
+    # Nearly as many skills as terms: merged where the counts lie, never sent to every task.
+    weighted = cut(
+        terms.join(idf.hint("merge"), ["career", "skill"]).select(
+            "career", "profile", "skill", "df", "idf", (F.col("tf") * F.col("idf")).alias("weight")
+        )
     )
-    reached = (
-        asked.join(index, ["career", "skill"])
-        .groupBy("asker", "profile", "n_asked", "n_listed")
-        .agg(F.count("*").alias("shared"))
-        .withColumn("score", _overlap(F.col("shared")))
-    )
-    spread = postings.groupBy("career", "skill").agg(F.count("*").alias("df"))
-    commonest_first = W.partitionBy("asker").orderBy(F.desc("df"), "skill")
-    marked = _mark_weak(
-        asked.join(spread, ["career", "skill"]),
-        _known_score(reached, k),
-        F.row_number().over(commonest_first) / F.col("n_asked"),
-    )
-    tail = F.sum(F.col("weak").cast("int")).over(W.partitionBy("asker"))
-    terms = cut(marked.withColumn("tail", tail).drop("reach", "df"))
-    most = F.col("part") + F.least(F.col("tail"), F.col("n_listed") - F.col("part"))
-    carried = ["n_asked", "n_listed"]
-    found = _search(terms, postings, F.lit(1), _overlap(most), carried)
-    return found.withColumn("sim", F.round(_overlap(F.col("total")), DIGITS))
-
-
-def listing_vectors(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """IDF per career and unit vectors per profile, written once for all later passes."""
-    terms = cut(
-        _profiles(bags)
-        .select("career", "profile", "copies", F.explode("bag").alias("skill"))
-        .groupBy("career", "profile", "copies", "skill")
-        .agg(F.count("*").alias("tf"))
+    norms = weighted.groupBy("career", "profile").agg(
+        F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm")
     )
-    sizes = bags.groupBy("career").agg(F.count("*").alias("n_docs"))
-    idf = cut(scoped_idf(terms, sizes, ["career"], "copies"))
-    return idf, cut(
-        unit_vectors(weigh(terms, idf, ["career", "skill"]), ["career", "profile"])
+    said = cut(askers.select("asker", "career", F.inline("bag")))
+    postings = _asked_only(weighted, said).join(norms, ["career", "profile"])
+    value = F.col("weight") / F.col("norm")
+    index = Index.build(
+        postings.select(
+            "career", "skill", F.col("df").alias("n_listing"), "idf", "profile", value.alias("value")
+        ),
+        weight_level(F.col("value")),
+    )
+    # A skill that some listing has, but not all, has postings, and these its IDF.
+    spread = index.postings.groupBy("career", "skill").agg(F.first("idf").alias("idf"))
+    weights = weigh(said, spread, ["career", "skill"])
+    norm = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy("asker")))
+    return index, cut(
+        weights.select("asker", "career", "skill", (F.col("weight") / norm).alias("asked"))
+    )
+
+
+def _jaccard_index(bags: DataFrame, wanted: DataFrame) -> Index:
+    """Index of the profiles' set sizes, as negative values: small sets have the greater impact."""
+    terms = cut(_asked_only(_profile_terms(bags), wanted))
+    lists = terms.groupBy("career", "skill").agg(F.count("*").alias("n_listing"))
+    return Index.build(
+        terms.join(lists, ["career", "skill"]).select(
+            "career", "skill", "n_listing", "profile", (-F.col("n_listed")).alias("value")
+        ),
+        size_level(-F.col("value")),
     )
 
 
@@ -254,13 +455,10 @@ def rank_listings(
     """
     requests = requests.withColumn("career", format_career(F.col("career")))
     bags = _bags(listings, distinct=False)
-    idf, vectors = listing_vectors(bags)
     asked = cut(askers_of(requests, user_skills, user))
     askers = asked.select("asker", "career", "bag").distinct()
-    terms = askers.select("asker", "career", F.inline("bag"))
-    weights = unit_vectors(weigh(terms, idf, ["career", "skill"]), ["asker", "career"])
-    sims = _cosine(vectors, weights.withColumnRenamed("weight", "asked"), k)
-    return _expand(sims, bags, asked, askers.drop("bag"), user, k)
+    index, vectors = _cosine_index(bags, askers)
+    return _expand(_cosine(index, vectors, k), bags, asked, askers.drop("bag"), user, k)
 
 
 def rank_listings_jaccard(
@@ -273,18 +471,15 @@ def rank_listings_jaccard(
     """The same with shared over joint distinct skills as similarity."""
     requests = requests.withColumn("career", format_career(F.col("career")))
     bags = _bags(listings, distinct=True)
-    terms = cut(
-        _profiles(bags).select(
-            "career", "profile", F.size("bag").alias("n_listed"), F.explode("bag").alias("skill")
-        )
-    )
     asked = cut(askers_of(requests, user_skills.select(user, "skill"), user))
     askers = asked.select("asker", "career", "bag").distinct()
-    wanted = askers.select(
-        "asker", "career", F.size("bag").alias("n_asked"), F.explode("bag.skill").alias("skill")
+    wanted = cut(
+        askers.select(
+            "asker", "career", F.size("bag").alias("n_asked"), F.explode("bag.skill").alias("skill")
+        )
     )
-    sims = _jaccard(terms, wanted, k)
-    return _expand(sims, bags, asked, askers.drop("bag"), user, k)
+    index = _jaccard_index(bags, wanted)
+    return _expand(_jaccard(index, wanted, k), bags, asked, askers.drop("bag"), user, k)
 
 
 def describe_listings(ranked: DataFrame, listings: DataFrame) -> DataFrame:

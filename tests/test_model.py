@@ -133,6 +133,71 @@ def test_jaccard_equals_full_scan(spark, seed, vocabulary):
         assert [(r.unique_url, pytest.approx(r.sim)) for r in mine_got] == want
 
 
+@pytest.mark.parametrize("seed,block", [(6, 8), (7, 30)])
+def test_long_lists_in_levels_and_parts_equal_full_scan(spark, monkeypatch, seed, block):
+    """Blocks far smaller than the lists: levels, parts and both rounds are in use."""
+    build = listings.Index.build
+    monkeypatch.setattr(listings.Index, "build", staticmethod(lambda p, level: build(p, level, block)))
+    rng = random.Random(seed)
+    skills = [f"s{i}" for i in range(14)]
+    stored = [
+        ("c", f"/{i:03}", rng.choices(skills, [2.0**-j for j in range(14)], k=rng.randint(1, 25)))
+        for i in range(300)
+    ]
+    owned = [(u, s) for u in range(40) for s in rng.choices(skills, k=rng.choice([1, 1, 3, 8]))]
+    frames = (
+        spark.createDataFrame([(u, "c") for u in range(40)], "user_id long, career string"),
+        users_of(spark, owned),
+        spark.createDataFrame(stored, "career string, unique_url string, skills array<string>"),
+    )
+    want = brute_force(stored, [(u, "c") for u in range(40)], owned, 5)
+    for user, rows in by_user(listings.rank_listings(*frames)).items():
+        expected = want[user, "c"]
+        assert [s for _, s in rows] == pytest.approx([s for _, s in expected], abs=2e-6)
+        assert [u for u, _ in rows] == [u for u, _ in expected]
+    for user, rows in by_user(listings.rank_listings_jaccard(*frames)).items():
+        mine = {s for u, s in owned if u == user}
+        sims = {u: round(len(mine & set(b)) / len(mine | set(b)), 6) for _, u, b in stored}
+        assert rows == sorted(sims.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
+
+
+def by_user(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        out.setdefault(r.user_id, []).append((r.unique_url, round(r.sim, 6)))
+    return out
+
+
+def test_few_postings_of_a_hot_skill_are_read(spark, monkeypatch):
+    """A skill of nearly all listings, asked for alone and with others."""
+    n = 8000
+    rng = random.Random(8)
+    stored = [("c", f"/{i:05}", ["hot"] * (1 + i % 9) + [f"w{rng.randrange(2000)}" for _ in range(12)]) for i in range(n)]
+    stored += [("c", f"/x{i}", ["other"]) for i in range(400)]
+    owned = [(0, "hot"), *[(u, s) for u in range(1, 9) for s in ("hot", f"w{u}", f"w{u + 9}")]]
+    frames = (
+        spark.createDataFrame([(u, "c") for u in range(9)], "user_id long, career string"),
+        users_of(spark, owned),
+        spark.createDataFrame(stored, "career string, unique_url string, skills array<string>"),
+    )
+    count, read = [], listings.Index.read
+
+    def counted(self, wanted, on):
+        rows = read(self, wanted, on)
+        count.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(listings.Index, "read", counted)
+    want = brute_force(stored, [(u, "c") for u in range(9)], owned, 5)
+    found = by_user(listings.rank_listings(*frames))
+    assert {u: [x for x, _ in rows] for u, rows in found.items()} == {u: [x for x, _ in want[u, "c"]] for u in range(9)}
+    # Read whole, the hot list alone would be 9 * 8000 postings.
+    assert sum(count) < 9 * n / 5, count
+    count.clear()
+    by_user(listings.rank_listings_jaccard(*frames))
+    assert sum(count) < 9 * n / 3, count
+
+
 def test_jaccard(spark):
     stored = spark.createDataFrame(
         [("c", "/1", ["a", "b", "b"]), ("c", "/2", ["a"]), ("c", "/3", ["A"]), ("c", "/4", ["z"])],
