@@ -5,6 +5,13 @@ careers are mined together. Item counts alone tell how many halvings cannot suff
 (m frequent items have at most 2^m - 1 itemsets), and one pass looks several halvings
 ahead: after every itemset size the lowest support still needed is recomputed per
 career, so from the third size on no career is mined deeper than its own final support.
+
+Mining is vertical. A career's distinct item sets are numbered in chunks of 64, and an itemset
+carries, per chunk, one 64-bit word with the sets that hold it. Itemsets of a chunk that differ
+in their last item only form a projection, and the next size comes from intersecting their
+words inside it: no prefix is grown twice, and no group grows with a hot career or item. Sets
+that stand for many listings are numbered once per binary digit of their multiplicity, so that
+a frequency is a sum of bit counts times powers of two.
 """
 
 from __future__ import annotations
@@ -26,29 +33,44 @@ MIN_CONFIDENCE = 0.1
 _LOOK_AHEAD = 3
 
 
-def transactions(listings: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """Distinct item sets per career with the number of listings that have them.
+_CHUNK = ["career", "digit", "chunk"]
+
 
-    Items outside the lexicon are dropped; a listing left without items still counts
-    as a listing of its career.
+def transactions(listings: DataFrame) -> DataFrame:
+    """Distinct item sets per career with `w`, the number of listings that have them.
+
+    A listing without items still counts as a listing of its career.
     """
     items = F.array_sort(F.array_distinct(F.transform("skills", F.lower)))
     sets = listings.select("career", items.alias("items"))
-    grouped = sets.groupBy("career", "items").agg(F.count("*").alias("w"))
-    if lexicon is None:
-        return grouped
-    known = lexicon.select(F.lower("skill").alias("item")).distinct().withColumn("known", F.lit(True))
-    return (
-        grouped.withColumn("set_id", F.sha2(F.to_json(F.struct("career", "items")), 256))
-        .select("career", "set_id", "w", F.explode_outer("items").alias("item"))
-        .join(known, "item", "left")
-        .groupBy("career", "set_id", "w")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("known"), F.col("item")))).alias("items"))
-        .groupBy("career", "items")
-        .agg(F.sum("w").alias("w"))
+    return sets.groupBy("career", "items").agg(F.count("*").alias("w"))
+
+
+def _numbered(sets: DataFrame) -> DataFrame:
+    """Sets with `chunk` and `place` (0 to 63); similar ones lie side by side.
+
+    The numbers have to be written before they are used: a repeated task could give others.
+    """
+    row = F.monotonically_increasing_id()
+    return sets.sortWithinPartitions("career", "items").select(
+        "career", "items", "w", F.shiftright(row, 6).alias("chunk"),
+        row.bitwiseAND(63).cast("int").alias("place"),
     )
 
 
+def _item_counts(sets: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """Rows `(career, itemset, freq)` of single items; those outside the lexicon are dropped."""
+    counts = (
+        sets.select("career", "w", F.explode("items").alias("item"))
+        .groupBy("career", "item")
+        .agg(F.sum("w").alias("freq"))
+    )
+    if lexicon is not None:
+        known = lexicon.select(F.lower("skill").alias("item")).distinct()
+        counts = counts.join(known, "item", "left_semi")
+    return counts.select("career", F.array("item").alias("itemset"), "freq")
+
+
 def _min_count(n: Column, halvings: Column) -> Column:
     return F.ceil(n / F.pow(F.lit(2.0), halvings)).cast("long")
 
@@ -65,9 +87,14 @@ def _halvings_needed(n: Column, freq: Column) -> Column:
 
 
 def _first_reaching(itemsets: DataFrame, careers: DataFrame, need: int) -> DataFrame:
-    """Rows `(career, first)`: the first halving from `low` on with `need` frequent itemsets."""
+    """Rows `(career, first)`: the first halving from `low` on with `need` frequent itemsets.
+
+    Dealt by career once: there are hardly more itemsets of one than are needed.
+    """
     per_step = (
-        itemsets.join(careers.select("career", "n", "low"), "career")
+        itemsets.select("career", "freq")
+        .repartition("career")
+        .join(careers.select("career", "n", "low"), "career")
         .groupBy(
             "career",
             F.greatest("low", _halvings_needed(F.col("n"), F.col("freq"))).alias("halvings"),
@@ -106,43 +133,55 @@ def _union(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def _frequent_only(sets: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Sets cut down to frequent items; those that became equal are counted together."""
-    allowed = levels[0].groupBy("career").agg(
-        F.collect_list(F.col("itemset")[0]).alias("allowed")
+def _each_pair(rows: DataFrame, kept: list[str], column: str) -> DataFrame:
+    """Every two entries `a`, `b` of an array column, in its order; one generated loop per row."""
+    first = rows.select(*kept, column, F.posexplode(column).alias("i", "a"))
+    later = F.slice(column, F.col("i") + 2, F.size(column))
+    return first.select(*kept, "a", F.explode(later).alias("b"))
+
+
+def _pairs(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows `(*_CHUNK, itemset, bits)` of all pairs of the given items that stand in a set together."""
+    allowed = items.groupBy("career").agg(F.collect_list(F.col("itemset")[0]).alias("allowed"))
+    highest = F.floor(F.log2("w")).cast("int") + 1
+    digits = F.filter(F.sequence(F.lit(0), highest), lambda b: F.getbit(F.col("w"), b) == 1)
+    reduced = sets.join(allowed, "career").select(
+        "career", "chunk", "place", "w", F.array_intersect("items", "allowed").alias("items")
     )
+    bit = F.expr("shiftleft(1L, place)")
     return (
-        sets.join(allowed, "career")
-        .select("career", F.array_intersect("items", "allowed").alias("items"), "w")
-        .where(F.size("items") > len(levels))
-        .groupBy("career", "items")
-        .agg(F.sum("w").alias("w"))
+        _each_pair(
+            reduced.select("career", F.explode(digits).alias("digit"), "chunk", "place", "items"),
+            [*_CHUNK, "place"],
+            "items",
+        )
+        .groupBy(*_CHUNK, "a", "b")
+        .agg(F.bit_or(bit).alias("bits"))
+        .select(*_CHUNK, F.array("a", "b").alias("itemset"), "bits")
     )
 
 
-def _grow(sets: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Candidate itemsets one item longer than the last level, with counts.
+def _extended(found: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The same one item longer: every two frequent itemsets of a projection, intersected."""
+    prefix = F.slice("itemset", F.lit(1), F.size("itemset") - 1)
+    projections = (
+        found.join(frequent.select("career", "itemset"), ["career", "itemset"], "left_semi")
+        .groupBy(*_CHUNK, prefix.alias("prefix"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.element_at("itemset", -1).alias("item"), "bits"))).alias("ends"))
+        .where(F.size("ends") > 1)
+    )
+    return (
+        _each_pair(projections, [*_CHUNK, "prefix"], "ends")
+        .select(*_CHUNK, "prefix", "a", "b", F.col("a.bits").bitwiseAND(F.col("b.bits")).alias("bits"))
+        .where("bits <> 0")
+        .select(*_CHUNK, F.concat("prefix", F.array("a.item", "b.item")).alias("itemset"), "bits")
+    )
 
-    `sets` holds `(career, items, w)` cut to frequent items. A candidate extends a
-    frequent itemset by a later item of the same set, so each is met once per set.
-    """
-    grown = sets.select(
-        "career", "w", F.array().cast("array<string>").alias("itemset"),
-        F.col("items").alias("rest"),
-    )
-    for size in range(1, len(levels) + 2):
-        grown = grown.select(
-            "career", "w", "itemset", "rest", F.posexplode("rest").alias("i", "item")
-        ).select(
-            "career",
-            "w",
-            F.concat("itemset", F.array("item")).alias("itemset"),
-            F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"),
-        )
-        if 1 < size <= len(levels):
-            known = levels[size - 1].select("career", "itemset")
-            grown = grown.join(known, ["career", "itemset"], "left_semi")
-    return grown.groupBy("career", "itemset").agg(F.sum("w").alias("freq"))
+
+def _counted(found: DataFrame) -> DataFrame:
+    """Rows `(career, itemset, freq)`; bits are added up before they are shuffled."""
+    times = F.expr("shiftleft(cast(bit_count(bits) as bigint), digit)")
+    return found.groupBy("career", "itemset").agg(F.sum(times).alias("freq"))
 
 
 def frequent_itemsets(
@@ -157,16 +196,17 @@ def frequent_itemsets(
     Careers with more than `min_listings` listings are mined. Halving ends when a
     career has `enough` itemsets or support has reached a single listing.
     """
-    sets = cut(transactions(listings, lexicon))
-    sizes = sets.groupBy("career").agg(F.sum("w").alias("n")).where(F.col("n") > min_listings)
+    sets = cut(_numbered(transactions(listings)))
+    last = F.greatest(F.lit(1), F.ceil(F.log2("n")).cast("int"))
+    careers = (
+        sets.groupBy("career")
+        .agg(F.sum("w").alias("n"))
+        .where(F.col("n") > min_listings)
+        .select("career", "n", last.alias("last"), F.lit(1).alias("low"))
+    )
     items = cut(
-        sets.join(sizes.select("career"), "career", "left_semi")
-        .select("career", "w", F.explode("items").alias("item"))
-        .groupBy("career", F.array("item").alias("itemset"))
-        .agg(F.sum("w").alias("freq"))
+        _item_counts(sets, lexicon).join(careers.select("career"), "career", "left_semi")
     )
-    last = F.greatest(F.lit(1), F.ceil(F.log2("n")).cast("int"))
-    careers = cut(sizes.withColumn("last", last).withColumn("low", F.lit(1)))
     # First halving at which the frequent items could have enough subsets at all.
     could = _first_reaching(items, careers, math.ceil(math.log2(enough + 1)))
     waiting = careers.join(could, "career", "left").select(
@@ -181,9 +221,16 @@ def frequent_itemsets(
         levels = [items]
         # The careers table is small and read many times over: written, plans stay short.
         active = cut(_tighten(items, start, enough))
+        found = None
         while max_size is None or len(levels) < max_size:
-            kept = [_frequent(one, active) for one in levels]
-            level, rows = cut_counted(_frequent(_grow(_frequent_only(sets, kept), kept), active))
+            longer = (
+                _pairs(sets, _frequent(items, active))
+                if found is None
+                else _extended(found, _frequent(levels[-1], active))
+            )
+            found, rows = cut_counted(longer)
+            if rows:
+                level, rows = cut_counted(_frequent(_counted(found), active))
             if rows == 0:
                 break
             levels.append(level)

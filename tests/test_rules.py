@@ -70,6 +70,31 @@ def test_itemsets_agree_with_fpgrowth(spark):
     assert ours == pytest.approx(theirs)
 
 
+def test_copies_are_counted_by_binary_digits(spark):
+    """Multiplicities of many digits, and more distinct sets than one word holds."""
+    rng = random.Random(6)
+    skills = [f"s{i}" for i in range(9)]
+    rows = [("c", rng.sample(skills, rng.randint(2, 5))) for _ in range(150)]
+    rows += [("c", ["s0", "s1", "s2"])] * 1000 + [("c", ["s0", "S1"])] * 77 + [("c", [])] * 9
+    got = rules.frequent_itemsets(frame(spark, rows), enough=150).collect()
+    assert {(r.career, tuple(r.itemset)): r.freq for r in got} == brute_force(rows, 150, 20)
+    assert max(len(r.itemset) for r in got) >= 3
+
+
+def test_each_size_is_grown_from_the_one_before(spark, monkeypatch):
+    rows = [("c", [f"s{j}" for j in range(6)])] * 30 + [("c", ["s0", f"t{i}"]) for i in range(40)]
+    sizes, extend = [], rules._extended
+
+    def seen(found, frequent):
+        sizes.append({len(r.itemset) for r in found.select("itemset").distinct().collect()})
+        return extend(found, frequent)
+
+    monkeypatch.setattr(rules, "_extended", seen)
+    got = rules.frequent_itemsets(frame(spark, rows), enough=40).collect()
+    assert {(r.career, tuple(r.itemset)): r.freq for r in got} == brute_force(rows, 40, 20)
+    assert sizes == [{2}, {3}, {4}, {5}, {6}]
+
+
 def test_lexicon_drops_other_items_but_not_listings(spark):
     rows = [("c", ["a", "x"])] * 12 + [("c", ["y"])] * 10
     known = spark.createDataFrame([("A",)], "skill string")
