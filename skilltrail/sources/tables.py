@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import clean_title, format_career, format_skill, title_career
+from ..session import cut
+from . import keys
 
 
 def read_listings(spark: SparkSession, path: str, career: str | None = None) -> DataFrame:
@@ -66,44 +68,65 @@ def has_skills() -> Column:
     return F.coalesce(F.size("skills") > 0, F.lit(False))
 
 
-def new_listings(
-    batch: DataFrame, stored: DataFrame, order: list[str | Column] | None = None,
-    key: str = "unique_url",
+def first_listings(
+    batch: DataFrame, order: list[str | Column] | None = None, key: str = "unique_url"
 ) -> DataFrame:
-    """Rows of the batch to insert: the first per key, unless the key is stored.
+    """The first row of a batch per key.
 
     Copies that agree in `order` are told apart by all their columns, so a repeated task
-    chooses the same one. The limit on row_number drops copies before the shuffle. Stored
-    keys are reduced to those of the batch first: a batch small enough to broadcast shuffles
-    none of the others. Stored rows are never changed.
+    chooses the same one. The limit on row_number drops copies before the shuffle.
     """
     order = list(order or ["searched_at"])
     ties = [F.xxhash64(*batch.columns), F.hash(*batch.columns)]
     nth = F.row_number().over(W.partitionBy(key).orderBy(*order, *ties))
-    first = batch.withColumn("nth", nth).where("nth = 1").drop("nth")
-    keys = batch.select(key).distinct()
-    taken = stored.select(key).join(keys, key, "left_semi")
-    return first.join(taken, key, "left_anti")
+    return batch.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def stored_listings(spark: SparkSession, path: str) -> DataFrame:
-    """The listing table, or an empty one before the first insert."""
+def new_listings(
+    batch: DataFrame, stored: DataFrame, order: list[str | Column] | None = None,
+    key: str = "unique_url",
+) -> DataFrame:
+    """Rows of the batch to insert: the first per key, unless the key is stored.
+
+    Stored keys are reduced to those of the batch first: a batch small enough to broadcast
+    shuffles none of the others. Stored rows are never changed.
+    """
+    asked = batch.select(key).distinct()
+    taken = stored.select(key).join(asked, key, "left_semi")
+    return first_listings(batch, order, key).join(taken, key, "left_anti")
+
+
+def _if_stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.schema(schemas.LISTINGS).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schemas.LISTINGS)
+        return None
+
+
+def stored_listings(spark: SparkSession, path: str) -> DataFrame:
+    """The listing table, or an empty one before the first insert."""
+    stored = _if_stored(spark, path)
+    return spark.createDataFrame([], schemas.LISTINGS) if stored is None else stored
 
 
 def insert_listings(batch: DataFrame, path: str, order: list[str | Column] | None = None) -> int:
     """Append the new rows of a batch to the listing table and count them.
 
     Rows without skills are dropped first, so they never hold back a later copy.
-    Running the same batch again inserts nothing.
+    Running the same batch again inserts nothing. Of what is stored, only the batch's part of
+    the key index is read, and the URLs of files that are not in it yet. One writer at a time.
     """
-    stored = stored_listings(batch.sparkSession, path)
-    fresh = new_listings(batch.where(has_skills()), stored, order)
+    spark = batch.sparkSession
+    fresh = first_listings(batch.where(has_skills()), order)
+    stored = _if_stored(spark, path)
+    if stored is not None:
+        keys.index_new_files(stored, path)
+        # Written, as it is read twice: for its keys, and for its rows.
+        fresh = cut(fresh.select(*schemas.LISTINGS.fieldNames()))
+        taken = keys.stored_keys(spark, path, fresh.select("unique_url"))
+        fresh = fresh.join(taken, "unique_url", "left_anti")
     counter = Observation()
     # Rebalanced by career: few files per folder, while a hot career is split over tasks.
     rows = fresh.select(*schemas.LISTINGS.fieldNames()).hint("rebalance", "career")

@@ -233,14 +233,151 @@ def test_feedback_stream_equals_batch(spark, tmp_path):
     got = flows.read_feedback(spark, path)
     want = feedback.skill_feedback(suggestions(spark, ROWS))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    # Several batches ran, and two snapshots at most are left.
-    assert len(list((tmp_path / "out" / "counts").glob("batch=*"))) == 2
+    # Several batches ran, and two versions of a bucket at most are left.
+    buckets = list((tmp_path / "out" / "counts").glob("bucket=*"))
+    assert buckets and max(len(list(b.glob("batch=*"))) for b in buckets) <= 2
     flows.career_stream(source, str(tmp_path / "careers")).awaitTermination()
     got = flows.read_careers(spark, str(tmp_path / "careers"))
     want = feedback.career_feedback(suggestions(spark, ROWS))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def snapshot_files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("part-*.parquet")}
+
+
+def test_a_batch_rewrites_only_the_counts_it_touches(spark, tmp_path):
+    def arrive(rows):
+        suggestions(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        source = spark.readStream.schema(schemas.FEEDBACK).parquet(str(tmp_path / "in"))
+        flows.feedback_stream(source, str(tmp_path / "out")).awaitTermination()
+
+    many = [("add_skill", f"skill {i}", at(i)) for i in range(500)]
+    arrive(many)
+    run()
+    before = snapshot_files(tmp_path / "out" / "counts")
+    assert len(before) > 25
+    arrive([("add_skill", "skill 3", at(900)), ("remove_skill", "x y", at(901))])
+    run()
+    after = snapshot_files(tmp_path / "out" / "counts")
+    written = [f for f in after if f not in before]
+    assert all(after[f] == t for f, t in before.items() if f in after)
+    assert 1 <= len(written) <= 2 and all("/batch=1/" in f for f in written)
+    rows = [*many, ("add_skill", "skill 3", at(900)), ("remove_skill", "x y", at(901))]
+    want = sorted(map(str, feedback.skill_feedback(suggestions(spark, rows)).collect()))
+    assert sorted(map(str, flows.read_feedback(spark, str(tmp_path / "out")).collect())) == want
+    # The batch is run again, as after a failure before its commit.
+    commit = tmp_path / "out" / "state" / "commits" / "1"
+    commit.unlink()
+    (commit.parent / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert sorted(map(str, flows.read_feedback(spark, str(tmp_path / "out")).collect())) == want
+    assert set(snapshot_files(tmp_path / "out" / "counts")) >= set(after) - set(written)
+
+
+def test_stream_drops_copies_inside_and_beyond_the_watermark(spark, tmp_path):
+    import time
+
+    lex = skills_lexicon(spark)
+    whole = crawl(spark, 30).cache()
+    # A page again as it was, one with another text earlier in time, one of a known URL only.
+    again = whole.where("page_id < 9")
+    other = whole.where("page_id between 5 and 7").withColumn("html", F.lit("<p>Care</p>")).withColumn(
+        "searched_at", F.col("searched_at") - F.expr("interval 1 day")
+    )
+    batches = [whole.where("page_id < 12"), again.union(other), whole, again]
+    seen = []
+    insert = flows.ingest_pages
+
+    def counted(batch, *args):
+        seen.append(batch.count())
+        return insert(batch, *args)
+
+    def run(within):
+        source = spark.readStream.schema(whole.schema).parquet(str(tmp_path / "in"))
+        flows.ingest_stream(
+            source, lex, str(tmp_path / "out"), str(tmp_path / "cp"), copies_within=within
+        ).awaitTermination()
+
+    flows.ingest_pages = counted
+    try:
+        for i, batch in enumerate(batches):
+            batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            if i == 3:
+                time.sleep(3)
+            run("1 hour" if i < 2 else "1 second")
+    finally:
+        flows.ingest_pages = insert
+    # In the second run only the other copies pass; the last one lies beyond the watermark.
+    assert [n for n in seen if n][:2] == [12, 3] and seen[-1] in (0, 9)
+    for batch in batches:
+        jobs.ingest_pages(batch, lex, str(tmp_path / "batch"))
+    rows = lambda p: sorted(map(str, tables.read_listings(spark, str(tmp_path / p)).collect()))
+    assert rows("out") == rows("batch") and len(rows("out")) == len({r.split("unique_url=")[1] for r in rows("out")})
+
+
+def listing_rows(spark, urls):
+    rows = [(f"c{i % 3}+a%b", at(i), "t", "l", ["sql"], "x", u) for i, u in enumerate(urls)]
+    return spark.createDataFrame(rows, schemas.LISTINGS)
+
+
+def read_files(frame):
+    """Files and rows that the scan of a frame's plan has read."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    scan = plan
+    while scan.children().size():
+        scan = scan.children().head()
+    metric = lambda name: scan.metrics().apply(name).value()
+    return metric("numFiles"), metric("numOutputRows")
+
+
+def test_insert_reads_only_touched_keys(spark, tmp_path):
+    from skilltrail.sources import keys
+
+    path = str(tmp_path / "listings")
+    urls = [f"/old/{i}" for i in range(4000)]
+    assert tables.insert_listings(listing_rows(spark, urls), path) == 4000
+    assert not (tmp_path / "listings" / "_keys").exists()
+    batch = ["/old/7", "/new/1", "/new/1", "/new/2", "/old/3999"]
+    assert tables.insert_listings(listing_rows(spark, batch), path) == 2
+    asked = spark.createDataFrame([("/old/7",), ("/new/3",)], "unique_url string")
+    found = keys.stored_keys(spark, path, asked)
+    files, rows = read_files(found)
+    buckets = {r.b for r in asked.select(keys.bucket_of(F.xxhash64("unique_url")).alias("b")).collect()}
+    have = [f for b in buckets for f in (tmp_path / "listings" / "_keys" / "urls").glob(f"bucket={b}/*.parquet")]
+    # Only the two buckets, and of these only the row group whose filter has the hash.
+    assert files == len(have) and 1 <= rows < 100
+    assert [r.unique_url for r in found.collect()] == ["/old/7"]
+    none = keys.stored_keys(spark, path, spark.createDataFrame([("/new/77",)], "unique_url string"))
+    assert read_files(none)[1] == 0
+    assert len(none.inputFiles()) <= 1
+    # More keys than are looked up one by one.
+    many = [f"/old/{i}" for i in range(300)] + [f"/late/{i}" for i in range(300)]
+    assert tables.insert_listings(listing_rows(spark, many), path) == 300
+    assert tables.read_listings(spark, path).count() == 4302
+
+
+def test_index_takes_up_what_it_lacks(spark, tmp_path):
+    from skilltrail.sources import keys
+
+    path = str(tmp_path / "listings")
+    # Files of a writer without an index, then one that broke off before naming its files.
+    listing_rows(spark, ["/a", "/b"]).write.partitionBy("career").parquet(path)
+    assert tables.insert_listings(listing_rows(spark, ["/b", "/c"]), path) == 1
+    assert keys.index_new_files(tables.stored_listings(spark, path), path) == 1
+    for f in (tmp_path / "listings" / "_keys" / "files").glob("*.parquet"):
+        f.unlink()
+    assert tables.insert_listings(listing_rows(spark, ["/a", "/c", "/d", None, None]), path) == 2
+    assert tables.insert_listings(listing_rows(spark, ["/a", "/c", "/d"]), path) == 0
+    assert keys.index_new_files(tables.stored_listings(spark, path), path) == 0
+    urls = [r.unique_url for r in tables.read_listings(spark, path).collect()]
+    assert sorted(map(str, urls)) == ["/a", "/b", "/c", "/d", "None"]
+
+
 def test_copies_of_one_moment_are_chosen_alike(spark):
     rows = [("/a", "t%d" % i, 1) for i in range(20)]
     for parts in (1, 7):
