@@ -42,15 +42,21 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, bounds.astype(np.int64)
 
 
+def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words end to end, and where each begins and how long it is."""
+    words = plain_texts(words)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    if not len(words) or offsets[-1] == offsets[0]:
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets[:-1] - offsets[0], np.diff(offsets)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of non-empty words, the same in every process."""
     if not len(words):
         return np.zeros(0, dtype=np.uint64)
-    words = plain_texts(words)
-    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    starts = offsets[:-1] - offsets[0]
-    lengths = np.diff(offsets)
+    data, starts, lengths = spelled(words)
     place = np.arange(len(data)) - np.repeat(starts, lengths)
     salts = _PLACE if lengths.max() <= len(_PLACE) else _salts(int(lengths.max()), 1 << 30)
     sums = np.add.reduceat(_BYTE[data] * salts[place], starts)

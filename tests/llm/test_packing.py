@@ -4,9 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from skilltrail.llm.packing import bins_of, crossover, evolve, pack, pack_documents, pieces, sequences
-from skilltrail.llm.tokens import encoder, public_path
+from skilltrail.llm.tokens import public_path
 
 
 def check(found, capacity):
@@ -49,7 +50,7 @@ def test_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = pack_documents(docs).collect()
     check(found, 4096)
-    library = encoder(public_path("word_bpe_49k.json"), False).tokenizer
+    library = Tokenizer.from_file(public_path("word_bpe_49k.json"))
     want = []
     for number, text in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids + [1]
