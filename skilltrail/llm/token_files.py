@@ -32,7 +32,7 @@ def write_tokens(
     end_id: int = END_ID,
     row_group_bytes: int = 32 << 20,
     page_bytes: int = 128 << 10,
-    codec: str = "zstd",
+    codec: str = "snappy",
 ) -> None:
     """Write the ids of every document, each closed by `end_id`, in ascending `doc_id` order.
 

@@ -31,6 +31,14 @@ BATCH_BYTES = 2 << 20
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Words of these characters may be encoded in one call, as they contain no mark.
 _PLAIN_WORD = "^[!-{}~À-ÿ]+$"
+#: Words of letters, with or without signs behind them: byte-level vocabularies cut them there
+#: and nowhere else before their merges.
+_ENDS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[" + re.escape(_ENDS) + "]*$"
+#: Byte-level vocabularies write a space as the first of these and bytes without a sign of their
+#: own as the others (fixed values of the format).
+_SPACE = "Ġ"
+_SIGNS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -133,6 +141,7 @@ class Encoder:
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.words = _Cache(" " if joined else "")
         self.openers = _Cache("")
+        self.signs: dict[str, list[int]] = {}
 
     def _direct(self, pieces: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -148,23 +157,50 @@ class Encoder:
         ends = np.flatnonzero(marks)
         return ids[~marks], np.diff(ends, prepend=-1) - 1
 
+    def _merged(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters and signs behind them by the vocabulary's merges, and their counts."""
+        tokenize, lead = self.tokenizer.model.tokenize, _SPACE if lead else ""
+        ids: list[int] = []
+        ends = []
+        for word in words:
+            core = word.rstrip(_ENDS)
+            signs = word[len(core) :]
+            if not core.isascii():
+                core = core.encode().decode("latin-1").translate(_SIGNS)
+            for token in tokenize(lead + core):
+                ids.append(token.id)
+            if signs:
+                if signs not in self.signs:
+                    self.signs[signs] = [token.id for token in tokenize(signs)]
+                ids += self.signs[signs]
+                if len(self.signs) > 10_000:
+                    self.signs.clear()
+            ends.append(len(ids))
+        return np.array(ids, dtype="<u4"), np.diff(ends, prepend=0)
+
     def _learn(self, words: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words as they stand after `lead`, end to end, and their counts."""
         plain = pc.match_substring_regex(words, _PLAIN_WORD).to_numpy(zero_copy_only=False)
+        letters = np.zeros(len(words), dtype=bool)
+        if self.joined:
+            letters = pc.match_substring_regex(words, _LETTERS).to_numpy(zero_copy_only=False)
         listed = words.to_pylist()
         parts, counts = [], np.zeros(len(listed), dtype=np.int64)
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        many = int(plain.sum())
-        for start in range(0, many, 4096):
-            some = order[start : min(many, start + 4096)]
+        groups = [np.flatnonzero(x) for x in (letters, plain & ~letters, ~plain & ~letters)]
+        order = np.concatenate(groups)
+        if len(groups[0]):
+            ids, counts[groups[0]] = self._merged([listed[i] for i in groups[0].tolist()], lead)
+            parts.append(ids)
+        for start in range(0, len(groups[1]), 4096):
+            some = groups[1][start : start + 4096]
             ids, counts[some] = self._marked([lead + listed[i] for i in some])
             parts.append(ids)
-        if many < len(order):
-            rest = self._direct([lead + listed[i] for i in order[many:]])
-            counts[order[many:]] = [len(x) for x in rest]
+        if len(groups[2]):
+            rest = self._direct([lead + listed[i] for i in groups[2]])
+            counts[groups[2]] = [len(x) for x in rest]
             parts += rest
         flat = np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
-        # Plain words came first; back to the order given.
+        # Back from the groups' order to the order given.
         starts = np.empty(len(order), dtype=np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order]
         return flat[_runs(starts, counts)], counts

@@ -58,6 +58,17 @@ def test_full_caches_and_equal_hashes_change_no_id(name, joined, monkeypatch):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_with_signs_equal_the_library():
+    random.seed(6)
+    ends = tokens._ENDS + "'\\\"1é\u00a0­"
+    made = ["".join(random.choices("abzÀÿ×÷éßA", k=random.randint(1, 8))) + "".join(random.choices(ends, k=random.randint(0, 3))) for _ in range(5000)]
+    texts = [" ".join(made[i : i + 50]) for i in range(0, 5000, 50)]
+    library = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    flat, bounds = Encoder(public_path("byte_bpe_50k.json"), True).ids_of(pa.array(texts))
+    for text, ids in zip(texts, np.split(flat, bounds[1:-1]), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_word_table():
     table = WordTable()
     data = np.frombuffer(b"abcdabce", dtype=np.uint8)
