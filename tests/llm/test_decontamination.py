@@ -113,13 +113,34 @@ def test_every_edited_copy_is_found(spark, share):
         rows.append((number, f"{around[0]} {''.join(chars)} {around[1]}"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = {(r.doc_id, r.item_id): r.edits for r in benchmark_hits(docs, bench).collect()}
+    found = {(r.doc_id, r.item_id): r.edits for r in benchmark_hits(docs, bench, exact=True).collect()}
     for number, text in rows:
         text, (item_id, item) = " ".join(text.lower().split()), items[number % len(items)]
         edits = brute(item, text)
         assert found.get((number, item_id)) == (edits if edits <= int(len(item) * 0.2) else None)
 
 
+@pytest.mark.parametrize("share", [0.03, 0.05, 0.1, 0.15, 0.2])
+def test_walks_find_nine_of_ten_edited_copies(spark, share):
+    """Recall against brute force over random edits of items as long as a benchmark's."""
+    rng = random.Random(int(share * 1000))
+    items = [(i, " ".join(invented(rng, n))) for i, n in enumerate([18, 25, 33, 40, 70] * 6)]
+    rows = []
+    for number in range(300):
+        chars = list(items[number % len(items)][1])
+        for at in sorted(rng.sample(range(len(chars)), int(len(chars) * share)), reverse=True):
+            chars[at : at + 1] = rng.choice([[], [rng.choice("xyzé")], [chars[at], "q"]])
+        around = [" ".join(invented(rng, rng.randint(0, 60))) for _ in range(2)]
+        rows.append((number, f"{around[0]} {''.join(chars)} {around[1]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    truth = {(r.doc_id, r.item_id): (r.edits, r.begin_word) for r in benchmark_hits(docs, bench, exact=True).collect()}
+    found = {(r.doc_id, r.item_id): (r.edits, r.begin_word) for r in benchmark_hits(docs, bench).collect()}
+    assert len(truth) >= 300 * 0.95
+    assert len(found) >= 0.9 * len(truth) and found.keys() <= truth.keys()
+    assert all(found[key] == truth[key] for key in found)
+
+
 def test_long_items(spark):
     """Items longer than what is searched at a time, at all places of a text."""
     rng = random.Random(5)
