@@ -40,6 +40,7 @@ BLOCK_BYTES = 4 << 20
 #: Items whose bands are counted together, characters of text at a time, and bits of a band's width.
 _GROUP, _CHUNK, _BAND = 256, 1 << 15, 3
 _HASH_BITS = 18
+_SLAB_BYTES = 4 << 20
 #: Pairs of item and stretch whose distances are worked out in step, if they are so many at least,
 #: of items up to so many characters.
 _TOGETHER, _FEW, _SHORT = 2048, 128, 1024
@@ -400,6 +401,20 @@ def _hits(index: Index | WalkIndex, texts: pa.Array) -> dict[tuple[int, int], tu
     return out
 
 
+def _slabs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows in slabs of about `_SLAB_BYTES` of text: pairs of a slab are verified together."""
+    held, size = [], 0
+    for whole in batches:
+        for batch in text_slices(whole, column, _SLAB_BYTES):
+            held.append(batch)
+            size += batch.column(column).nbytes
+            if size >= _SLAB_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in lists of at most `block_bytes` of text (or one item)."""
     held, size = [], 0
@@ -436,18 +451,17 @@ def benchmark_hits(
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = kind(shared.value)
-            for whole in batches:
-                for batch in text_slices(whole, 1, 1 << 20):
-                    hits = _hits(index, batch.column(1))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(pa.array([doc for doc, _ in hits], pa.int64())),
-                            pa.array([index.items[item][0] for _, item in hits], pa.int64()),
-                            pa.array([edits for edits, _ in hits.values()], pa.int32()),
-                            pa.array([begin for _, begin in hits.values()], pa.int32()),
-                        ],
-                        names=["doc_id", "item_id", "edits", "begin_word"],
-                    )
+            for batch in _slabs(batches, 1):
+                hits = _hits(index, batch.column(1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array([doc for doc, _ in hits], pa.int64())),
+                        pa.array([index.items[item][0] for _, item in hits], pa.int64()),
+                        pa.array([edits for edits, _ in hits.values()], pa.int32()),
+                        pa.array([begin for _, begin in hits.values()], pa.int32()),
+                    ],
+                    names=["doc_id", "item_id", "edits", "begin_word"],
+                )
 
         rows = docs.select(F.col("doc_id").cast("long"), "text")
         parts.append(rows.mapInArrow(find, "doc_id long, item_id long, edits int, begin_word int"))
@@ -469,11 +483,10 @@ def decontaminated(
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = kind(shared.value)
-            for whole in batches:
-                for batch in text_slices(whole, at, 1 << 20):
-                    keep = np.ones(len(batch), dtype=bool)
-                    keep[[doc for doc, _ in _hits(index, batch.column(at))]] = False
-                    yield batch.filter(pa.array(keep))
+            for batch in _slabs(batches, at):
+                keep = np.ones(len(batch), dtype=bool)
+                keep[[doc for doc, _ in _hits(index, batch.column(at))]] = False
+                yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
