@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skilltrail.llm.tokens import text_slices
+from skilltrail.llm.tokens import give_back, text_slices
 from skilltrail.llm.words import mixed, split_words
 
 #: Edits allowed, as a share of the item's characters.
@@ -40,7 +40,7 @@ BLOCK_BYTES = 4 << 20
 #: Items whose bands are counted together, characters of text at a time, and bits of a band's width.
 _GROUP, _CHUNK, _BAND = 256, 1 << 15, 3
 _HASH_BITS = 18
-_SLAB_BYTES = 4 << 20
+_SLAB_BYTES = 2 << 20
 #: Pairs of item and stretch whose distances are worked out in step, if they are so many at least,
 #: of items up to so many characters.
 _TOGETHER, _FEW, _SHORT = 2048, 128, 1024
@@ -195,11 +195,17 @@ class Walks:
         return found
 
 
+#: Hashes of the letters of the basic plane; 0 for the sign between texts.
+_LETTER = np.where(np.arange(1 << 16) > 0, mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64)), np.uint64(0))
+
+
 def _symbols(codes: np.ndarray) -> np.ndarray:
     """Hashes of letters, 0 between texts and, for the largest window, behind them."""
-    found = mixed(codes.astype(np.uint64) + np.uint64(1))
-    found[codes == 0] = 0
-    return np.concatenate([found, np.zeros(int(SIZES[-1] * STEPS) + 1, dtype=np.uint64)])
+    found = np.zeros(len(codes) + int(SIZES[-1] * STEPS) + 1, dtype=np.uint64)
+    np.take(_LETTER, codes, mode="clip", out=found[: len(codes)])
+    beyond = np.flatnonzero(codes >= 1 << 16)
+    found[beyond] = mixed(codes[beyond].astype(np.uint64) + np.uint64(1))
+    return found
 
 
 def _word_starts(codes: np.ndarray) -> np.ndarray:
@@ -411,6 +417,7 @@ def _slabs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
             if size >= _SLAB_BYTES:
                 yield pa.concat_batches(held)
                 held, size = [], 0
+                give_back()
     if held:
         yield pa.concat_batches(held)
 

@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 from skilltrail.llm.words import plain_texts, spelled, word_hashes
 
 #: Words in each of the two generations of a worker's cache; longer words are not kept.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 19
 CACHED_LENGTH = 48
 #: Rows that Spark hands to a task's Python at once; whole texts are large rows.
 BATCH_ROWS = 512
