@@ -35,6 +35,8 @@ MARGIN = 4.0
 BROADCAST_IDS = 1_000_000
 #: Members of one group in which classes of different components are compared.
 BLOCK = 256
+#: Shingles, in all, of the classes that are sent to one spot for their full check.
+BLOCK_SHINGLES = 1 << 18
 
 
 def shingle_sets(words: pa.Array, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +168,7 @@ def _with_registers(pairs: DataFrame, registers: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, registers: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose estimate may reach the threshold."""
+    """The rows (a, b, spot) whose estimate may reach the threshold."""
     least = least_estimate(threshold)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,34 +176,69 @@ def likely(pairs: DataFrame, registers: DataFrame, threshold: float) -> DataFram
             if len(batch):
                 one, other = (
                     np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-                    for i in (2, 3)
+                    for i in (3, 4)
                 )
-                yield batch.select(["a", "b"]).filter(pa.array(estimates(one, other) >= least))
+                yield batch.select(["a", "b", "spot"]).filter(pa.array(estimates(one, other) >= least))
 
-    rows = _with_registers(pairs.select("a", "b"), registers).select("a", "b", "ra", "rb")
-    return rows.mapInArrow(keep, "a long, b long")
+    rows = _with_registers(pairs.select("a", "b", "spot"), registers).select("a", "b", "spot", "ra", "rb")
+    return rows.mapInArrow(keep, "a long, b long, spot long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are linked: 100 * common >= percent * union."""
+    """The pairs (a, b) whose full shingle sets are linked: 100 * common >= percent * union.
+
+    `pairs` has a third column, `spot`: pairs of one spot are checked together. Each text is
+    sent there and taken apart once, however many pairs it is in.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, 2, 1 << 20):
-                one, one_bounds = shingle_sets(*split_words(batch.column(2)), size)
-                other, other_bounds = shingle_sets(*split_words(batch.column(3)), size)
-                keep = []
-                for i in range(len(batch)):
-                    x = one[one_bounds[i] : one_bounds[i + 1]]
-                    y = other[other_bounds[i] : other_bounds[i + 1]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.select("a", "b").join(one, "a").join(other, "b")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+            for row in range(len(whole)):
+                asked, sent = whole.column(0)[row].values, whole.column(1)[row].values
+                ids = sent.field("doc_id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                values, bounds = shingle_sets(*split_words(sent.field("text").take(pa.array(order))), size)
+                codes = np.unique(values, return_inverse=True)[1]
+                one, other = (asked.field(name).to_numpy() for name in ("a", "b"))
+                by_first = np.argsort(one, kind="stable")
+                one, other = one[by_first], other[by_first]
+                # An id may have several texts; any of them can make the link.
+                keep = np.zeros(len(one), dtype=bool)
+                marked = np.zeros(len(codes), dtype=bool)
+                for k in range(len(ids)):
+                    mine = codes[bounds[k] : bounds[k + 1]]
+                    marked[mine] = True
+                    for at in range(*np.searchsorted(one, [ids[k], ids[k] + 1])):
+                        for o in range(*np.searchsorted(ids, [other[at], other[at] + 1])):
+                            theirs = codes[bounds[o] : bounds[o + 1]]
+                            common = int(marked[theirs].sum())
+                            union = len(mine) + len(theirs) - common
+                            keep[at] |= common > 0 and 100 * common >= percent * union
+                    marked[mine] = False
+                yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(other[keep])], names=["a", "b"])
+            give_back()
+
+    pairs = cut(pairs.select("spot", "a", "b"))
+    needed = pairs.select("spot", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sent = needed.join(texts, "doc_id").groupBy("spot").agg(F.collect_set(F.struct("doc_id", "text")).alias("sent"))
+    asked = pairs.groupBy("spot").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+    return asked.join(sent, "spot").select("asked", "sent").mapInArrow(check, "a long, b long")
+
+
+def _spots(first: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cid and spot of every class: classes with the same leader `b` lie together.
+
+    `first` has cid and b, `sizes` cid and n_shingles. A leader with many classes has several
+    spots, of about BLOCK classes and BLOCK_SHINGLES shingles.
+    """
+    rows = first.join(sizes, "cid")
+    parts = rows.groupBy("b").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    )
+    return rows.join(parts, "b").select(
+        "cid", F.xxhash64("b", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("spot")
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,9 +276,9 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Likely pairs (a, b) between different components of one bucket.
+    """Likely pairs (a, b, spot) between different components of one bucket.
 
-    `members` has key, cid, component, n_shingles and registers. A bucket is cut into blocks
+    `members` has key, cid, component, n_shingles, spot and registers. A bucket is cut into blocks
     of about BLOCK members by a hash, and blocks are compared pair by pair, so a group is
     bounded. Only likely pairs leave it; with `best_only` just the likeliest of two components.
     """
@@ -257,7 +294,7 @@ def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataF
             "key",
             F.least("block", "with").alias("i"),
             F.greatest("block", "with").alias("j"),
-            F.struct("cid", "component", "n_shingles", "block", "registers").alias("member"),
+            F.struct("cid", "component", "n_shingles", "block", "spot", "registers").alias("member"),
         )
     )
     groups = rows.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members"))
@@ -265,48 +302,56 @@ def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataF
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 64):
-                batch = whole.slice(at, 64)
-                found = []
-                for group in range(len(batch)):
-                    members = batch.column(3)[group].values
-                    ids, labels, n, block = (
-                        members.field(name).to_numpy() for name in ("cid", "component", "n_shingles", "block")
-                    )
-                    registers = np.frombuffer(
-                        b"".join(members.field("registers").to_pylist()), dtype=np.uint16
-                    ).reshape(-1, REGISTERS)
-                    split = batch.column(1)[group].as_py() != batch.column(2)[group].as_py()
-                    best: dict[tuple, tuple] = {}
-                    for k in range(len(ids)):
-                        ok = (labels != labels[k]) & (ids > ids[k])
-                        ok &= np.minimum(n, n[k]) >= threshold * np.maximum(n, n[k])
-                        if split:
-                            ok &= block != block[k]
-                        others = np.flatnonzero(ok)
-                        if len(others):
-                            own = np.broadcast_to(registers[k], (len(others), REGISTERS))
-                            near = estimates(own, registers[others])
-                            for o, e in zip(others[near >= least], near[near >= least], strict=True):
-                                pair = (ids[k], ids[o], *sorted((labels[k], labels[o])), e)
-                                if not best_only:
-                                    found.append(pair)
-                                elif best.get(pair[2:4], pair)[4] <= e:
-                                    best[pair[2:4]] = pair
-                    found += best.values()
+            for group in range(len(whole)):
+                members = whole.column(3)[group].values
+                ids, labels, n, block, spots = (
+                    members.field(name).to_numpy() for name in ("cid", "component", "n_shingles", "block", "spot")
+                )
+                registers = np.frombuffer(
+                    b"".join(members.field("registers").to_pylist()), dtype=np.uint16
+                ).reshape(-1, REGISTERS)
+                split = whole.column(1)[group].as_py() != whole.column(2)[group].as_py()
+                one, other, near = [], [], []
+                for k in range(len(ids)):
+                    ok = (labels != labels[k]) & (ids > ids[k])
+                    ok &= np.minimum(n, n[k]) >= threshold * np.maximum(n, n[k])
+                    if split:
+                        ok &= block != block[k]
+                    others = np.flatnonzero(ok)
+                    # Collisions only lower an estimate, so the share of equal registers bounds it.
+                    others = others[(registers[others] == registers[k]).mean(axis=1) >= least]
+                    if len(others):
+                        own = np.broadcast_to(registers[k], (len(others), REGISTERS))
+                        estimate = estimates(own, registers[others])
+                        others, estimate = others[estimate >= least], estimate[estimate >= least]
+                        one.append(np.full(len(others), k))
+                        other.append(others)
+                        near.append(estimate)
+                if not one:
+                    continue
+                one, other, near = (np.concatenate(parts) for parts in (one, other, near))
+                low = np.minimum(labels[one], labels[other])
+                high = np.maximum(labels[one], labels[other])
+                if best_only and len(one):
+                    order = np.lexsort((ids[other], ids[one], near, high, low))
+                    last = np.ones(len(order), dtype=bool)
+                    last[:-1] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+                    keep = order[last]
+                    one, other, near, low, high = (x[keep] for x in (one, other, near, low, high))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[i] for f in found], kind) for i, kind in enumerate([pa.int64()] * 4 + [pa.float64()])],
-                    names=["a", "b", "ca", "cb", "estimate"],
+                    [pa.array(x) for x in (ids[one], ids[other], low, high, near, spots[one], spots[other])],
+                    names=["a", "b", "ca", "cb", "estimate", "sa", "sb"],
                 )
             give_back()
 
     pairs = groups.select("key", "i", "j", "members").mapInArrow(
-        compare, "a long, b long, ca long, cb long, estimate double"
+        compare, "a long, b long, ca long, cb long, estimate double, sa long, sb long"
     )
+    spot = F.xxhash64(F.least("sa", "sb"), F.greatest("sa", "sb")).alias("spot")
     if best_only:
-        top = F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("top")
-        return pairs.groupBy("ca", "cb").agg(top).select("top.*")
-    return pairs.select("a", "b").distinct()
+        top = F.max_by(F.struct("a", "b", "sa", "sb"), F.struct("estimate", "a", "b")).alias("top")
+        return pairs.groupBy("ca", "cb").agg(top).select("top.*").select("a", "b", spot)
+    return pairs.select("a", "b", spot).distinct()
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -336,11 +381,11 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     )
     labels = None
     if n:
-        members = cut(bands.join(leaders, "key"))
+        members = cut(bands.join(leaders, "key").distinct())
         shared = members.where("cid != leader").groupBy("cid", "leader").count()
-        first = shared.groupBy("cid").agg(
+        first = cut(shared.groupBy("cid").agg(
             F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b")
-        ).withColumnRenamed("cid", "a")
+        ))
         involved, n = cut_counted(
             members.select("cid").distinct().withColumnRenamed("cid", "doc_id")
         )
@@ -350,16 +395,24 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             .where(F.col("text").isNotNull())
             .join(some, "doc_id", "left_semi")
         )
-        registers = table.select("doc_id", "n_shingles", "registers").join(some, "doc_id", "left_semi")
-        edges = cut(verified(cut(likely(first, registers, threshold)), texts, size, percent))
+        registers = cut(
+            table.select("doc_id", "n_shingles", "registers").join(some, "doc_id", "left_semi").distinct()
+        )
+        # A class that leads all its buckets lies with those it leads.
+        led = members.select(F.col("cid")).distinct().join(first, "cid", "left")
+        spots = cut(_spots(
+            led.select("cid", F.coalesce("b", "cid").alias("b")),
+            registers.groupBy(F.col("doc_id").alias("cid")).agg(F.max("n_shingles").alias("n_shingles")),
+        ))
+        led = first.join(spots, "cid").withColumnRenamed("cid", "a")
+        edges = cut(verified(likely(led, registers, threshold), texts, size, percent))
         labels = None if edges.isEmpty() else components(edges)
 
-
         def cross(best_only: bool) -> DataFrame:
             """Linked pairs of classes that share a bucket but, so far, no component."""
             rows = _labelled(members.select("key", "cid"), labels)
-            rows = rows.join(registers.withColumnRenamed("doc_id", "cid"), "cid")
-            return cut(verified(cut(_cross_pairs(rows, threshold, best_only)), texts, size, percent))
+            rows = rows.join(registers.withColumnRenamed("doc_id", "cid"), "cid").join(spots, "cid")
+            return cut(verified(_cross_pairs(rows, threshold, best_only), texts, size, percent))
 
         # The likeliest pair of two components joins most that belong together ...
         while not (more := cross(True)).isEmpty():

@@ -98,6 +98,31 @@ def test_chain_and_big_blocks(spark, monkeypatch):
     assert got == brute(rows, 4)
 
 
+def test_checks_send_a_text_once_per_spot(spark):
+    # A ring of texts around one base: many likely pairs, few links; one id has two texts, rows repeat.
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for number in range(70):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 5, 8])):
+            words[at] = f"n{number}x{at}"
+        rows.append((number, " ".join(words)))
+    rows += [(3, rows[4][1]), rows[5], rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = [(a, b, a % 3) for a in range(70) for b in range(a + 1, 70)]
+    asked = spark.createDataFrame(pairs, "a long, b long, spot long")
+    got = sorted((r.a, r.b) for r in near_dup.verified(asked, docs, 4, 80).collect())
+    sets = {}
+    for number, text in rows:
+        sets.setdefault(number, []).append(shingles(text, 4))
+    want = sorted(
+        (a, b) for a, b, _ in pairs
+        if any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b])
+    )
+    assert got == want and 100 < len(got) < len(pairs)
+
+
 def test_estimates_are_close():
     rng = random.Random(9)
     texts, truth = [], []
