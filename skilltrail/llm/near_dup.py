@@ -35,6 +35,8 @@ MARGIN = 4.0
 BROADCAST_IDS = 1_000_000
 #: Members of one group in which classes of different components are compared.
 BLOCK = 256
+#: Rounds over likeliest pairs of components, before what is still apart is compared in full.
+BEST_ROUNDS = 2
 #: Shingles, in all, of the classes that are sent to one spot for their full check.
 BLOCK_SHINGLES = 1 << 18
 
@@ -185,24 +187,32 @@ def likely(pairs: DataFrame, registers: DataFrame, threshold: float) -> DataFram
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are linked: 100 * common >= percent * union.
+    """Pairs (a, b) whose full shingle sets are linked: 100 * common >= percent * union.
 
-    `pairs` has a third column, `spot`: pairs of one spot are checked together. Each text is
-    sent there and taken apart once, however many pairs it is in.
+    `pairs` has rows of pairs, as two lists `a` and `b`, and their `spot`: pairs of one spot are
+    checked together, and each text is sent there and taken apart once, however many pairs it is
+    in. A pair that links found at its spot have already joined is not checked nor returned, so
+    a spot returns fewer links than it has texts.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for row in range(len(whole)):
-                asked, sent = whole.column(0)[row].values, whole.column(1)[row].values
+                asked = np.stack([whole.column(i)[row].values.to_numpy() for i in (0, 1)], axis=1)
+                sent = whole.column(2)[row].values
                 ids = sent.field("doc_id").to_numpy()
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
                 values, bounds = shingle_sets(*split_words(sent.field("text").take(pa.array(order))), size)
                 codes = np.unique(values, return_inverse=True)[1]
-                one, other = (asked.field(name).to_numpy() for name in ("a", "b"))
-                by_first = np.argsort(one, kind="stable")
-                one, other = one[by_first], other[by_first]
+                one, other = np.unique(asked, axis=0).T
+                joined = {number: number for number in np.unique(ids).tolist()}
+
+                def root(number: int, joined: dict[int, int] = joined) -> int:
+                    while joined[number] != number:
+                        joined[number] = number = joined[joined[number]]
+                    return number
+
                 # An id may have several texts; any of them can make the link.
                 keep = np.zeros(len(one), dtype=bool)
                 marked = np.zeros(len(codes), dtype=bool)
@@ -210,20 +220,24 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     mine = codes[bounds[k] : bounds[k + 1]]
                     marked[mine] = True
                     for at in range(*np.searchsorted(one, [ids[k], ids[k] + 1])):
+                        if root(int(one[at])) == root(int(other[at])):
+                            continue
                         for o in range(*np.searchsorted(ids, [other[at], other[at] + 1])):
                             theirs = codes[bounds[o] : bounds[o + 1]]
                             common = int(marked[theirs].sum())
                             union = len(mine) + len(theirs) - common
                             keep[at] |= common > 0 and 100 * common >= percent * union
+                        if keep[at]:
+                            joined[root(int(one[at]))] = root(int(other[at]))
                     marked[mine] = False
                 yield pa.RecordBatch.from_arrays([pa.array(one[keep]), pa.array(other[keep])], names=["a", "b"])
             give_back()
 
-    pairs = cut(pairs.select("spot", "a", "b"))
-    needed = pairs.select("spot", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    lists = [F.flatten(F.collect_list(side)).alias(side) for side in ("a", "b")]
+    asked = cut(pairs.groupBy("spot").agg(*lists))
+    needed = asked.select("spot", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id"))
     sent = needed.join(texts, "doc_id").groupBy("spot").agg(F.collect_set(F.struct("doc_id", "text")).alias("sent"))
-    asked = pairs.groupBy("spot").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
-    return asked.join(sent, "spot").select("asked", "sent").mapInArrow(check, "a long, b long")
+    return asked.join(sent, "spot").select("a", "b", "sent").mapInArrow(check, "a long, b long")
 
 
 def _spots(first: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -276,7 +290,7 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Likely pairs (a, b, spot) between different components of one bucket.
+    """Likely pairs between different components of one bucket: lists a and b, and their spot.
 
     `members` has key, cid, component, n_shingles, spot and registers. A bucket is cut into blocks
     of about BLOCK members by a hash, and blocks are compared pair by pair, so a group is
@@ -332,26 +346,38 @@ def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataF
                 one, other, near = (np.concatenate(parts) for parts in (one, other, near))
                 low = np.minimum(labels[one], labels[other])
                 high = np.maximum(labels[one], labels[other])
-                if best_only and len(one):
+                if best_only:
                     order = np.lexsort((ids[other], ids[one], near, high, low))
                     last = np.ones(len(order), dtype=bool)
                     last[:-1] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
                     keep = order[last]
                     one, other, near, low, high = (x[keep] for x in (one, other, near, low, high))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (ids[one], ids[other], low, high, near, spots[one], spots[other])],
+                        names=["a", "b", "ca", "cb", "estimate", "sa", "sb"],
+                    )
+                    continue
+                # All pairs of two spots leave as one row.
+                here = np.sort(np.stack([spots[one], spots[other]], axis=1), axis=1)
+                order = np.lexsort((here[:, 1], here[:, 0]))
+                here, one, other = here[order], one[order], other[order]
+                starts = np.flatnonzero(np.r_[True, (here[1:] != here[:-1]).any(axis=1)])
+                ends = pa.array(np.r_[starts, len(one)].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[one], ids[other], low, high, near, spots[one], spots[other])],
-                    names=["a", "b", "ca", "cb", "estimate", "sa", "sb"],
+                    [pa.array(here[starts, side]) for side in (0, 1)]
+                    + [pa.ListArray.from_arrays(ends, pa.array(ids[side])) for side in (one, other)],
+                    names=["sa", "sb", "a", "b"],
                 )
             give_back()
 
-    pairs = groups.select("key", "i", "j", "members").mapInArrow(
-        compare, "a long, b long, ca long, cb long, estimate double, sa long, sb long"
-    )
+    rows = groups.select("key", "i", "j", "members")
     spot = F.xxhash64(F.least("sa", "sb"), F.greatest("sa", "sb")).alias("spot")
-    if best_only:
-        top = F.max_by(F.struct("a", "b", "sa", "sb"), F.struct("estimate", "a", "b")).alias("top")
-        return pairs.groupBy("ca", "cb").agg(top).select("top.*").select("a", "b", spot)
-    return pairs.select("a", "b", spot).distinct()
+    if not best_only:
+        return rows.mapInArrow(compare, "sa long, sb long, a array<long>, b array<long>").select("a", "b", spot)
+    pairs = rows.mapInArrow(compare, "a long, b long, ca long, cb long, estimate double, sa long, sb long")
+    top = F.max_by(F.struct("a", "b", "sa", "sb"), F.struct("estimate", "a", "b")).alias("top")
+    best = pairs.groupBy("ca", "cb").agg(top).select("top.*")
+    return best.select(F.array("a").alias("a"), F.array("b").alias("b"), spot)
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -405,7 +431,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             registers.groupBy(F.col("doc_id").alias("cid")).agg(F.max("n_shingles").alias("n_shingles")),
         ))
         led = first.join(spots, "cid").withColumnRenamed("cid", "a")
-        edges = cut(verified(likely(led, registers, threshold), texts, size, percent))
+        near = likely(led, registers, threshold).select(F.array("a").alias("a"), F.array("b").alias("b"), "spot")
+        edges = cut(verified(near, texts, size, percent))
         labels = None if edges.isEmpty() else components(edges)
 
         def cross(best_only: bool) -> DataFrame:
@@ -415,7 +442,10 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             return cut(verified(_cross_pairs(rows, threshold, best_only), texts, size, percent))
 
         # The likeliest pair of two components joins most that belong together ...
-        while not (more := cross(True)).isEmpty():
+        for _ in range(BEST_ROUNDS):
+            more = cross(True)
+            if more.isEmpty():
+                break
             edges = edges.union(more)
             labels = components(edges)
         # ... and what is still apart is compared in full.
