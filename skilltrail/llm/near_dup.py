@@ -324,6 +324,8 @@ def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataF
                 registers = np.frombuffer(
                     b"".join(members.field("registers").to_pylist()), dtype=np.uint16
                 ).reshape(-1, REGISTERS)
+                zeros = registers >> MANTISSA
+                shares = np.stack([(zeros == level).mean(axis=1) for level in np.unique(zeros)], axis=1)
                 split = whole.column(1)[group].as_py() != whole.column(2)[group].as_py()
                 one, other, near = [], [], []
                 for k in range(len(ids)):
@@ -332,16 +334,16 @@ def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataF
                     if split:
                         ok &= block != block[k]
                     others = np.flatnonzero(ok)
-                    # Collisions only lower an estimate, so the share of equal registers bounds it.
-                    others = others[(registers[others] == registers[k]).mean(axis=1) >= least]
                     if len(others):
-                        own = np.broadcast_to(registers[k], (len(others), REGISTERS))
-                        estimate = estimates(own, registers[others])
+                        # As in `estimates`, with each member's shares of levels counted once.
+                        equal = np.count_nonzero(registers[others] == registers[k], axis=1) / REGISTERS
+                        chance = shares[others] @ shares[k] / (1 << MANTISSA)
+                        estimate = (equal - chance) / (1 - chance)
                         others, estimate = others[estimate >= least], estimate[estimate >= least]
                         one.append(np.full(len(others), k))
                         other.append(others)
                         near.append(estimate)
-                if not one:
+                if not sum(map(len, one)):
                     continue
                 one, other, near = (np.concatenate(parts) for parts in (one, other, near))
                 low = np.minimum(labels[one], labels[other])
