@@ -168,13 +168,10 @@ def crawl_pages(frame: DataFrame) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table as a file stream."""
+    """One table, a file or a folder of files, as a file stream."""
     schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir)
-    )
+    # A plain path would have to be a folder; a pattern may also name a single file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def chat_words(chats: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import standins
 from skilltrail import schemas
 from skilltrail.operators import extract, feedback, lookup
 from skilltrail.plans import jobs
@@ -404,3 +405,17 @@ def test_scopes_remove_their_tables(spark):
         assert inside
     assert not any(os.path.exists(f.removeprefix("file://")) for f in inside)
     assert outer.count() == 3
+
+
+def test_stream_of_a_table_in_a_folder_or_a_file(spark, tmp_path):
+    """A table of several files in a folder streams as one in a single file does."""
+    pages = spark.range(30).selectExpr("id AS page_id", "concat('http://a.org/', id) AS url")
+    pages.repartition(3).write.parquet(f"{tmp_path}/many/pages.parquet")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/written")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("part-*")).rename(tmp_path / "one" / "pages.parquet")
+    for kind in ("many", "one"):
+        stream = standins.stream_of(spark, f"{tmp_path}/{kind}", "pages")
+        query = stream.writeStream.format("memory").queryName(f"of_{kind}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert sorted(r.page_id for r in spark.table(f"of_{kind}").collect()) == [*range(30)]
