@@ -393,9 +393,10 @@ def decoded_references(spark, d):
     """Document texts written in numeric references, every character one, and decoded again."""
     chars = F.split("text", "")
     form = lambda c, i: F.when(
-        i % 2 == 0, F.concat(F.lit("&#"), F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10), F.lit(";"))
-    ).otherwise(F.concat(F.lit("&#x"), F.hex(F.encode(c, "UTF-32")), F.lit(";")))
-    coded = F.array_join(F.transform(chars, form), "")
+        i % 2 == 0, F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))
+    ).otherwise(F.concat(F.lit("&#x"), F.lpad(F.hex(F.ascii(c)), 8, "0"), F.lit(";")))
+    # An empty text is one empty piece, which is no character.
+    coded = F.when(F.col("text") == "", "").otherwise(F.array_join(F.transform(chars, form), ""))
     return S.texts(spark, d).select("doc_id", X.unescape(coded).alias("text"))
 
 

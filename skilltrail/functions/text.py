@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import re
+from functools import lru_cache
 from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings folded together before matching, applied in this order.
 SPELLING_FOLDS = [("re-", "re"), ("co-", "co"), ("non-", "non"), ("&", "and"), (",", "")]
@@ -17,9 +20,9 @@ RESUME_HEADINGS = ["education", "publications", "philosophy"]
 # File types accepted as resumes.
 RESUME_EXTENSIONS = ["pdf"]
 
-# The named character references of the HTML standard, as the standard library lists them;
-# those that may lack their semicolon are listed without it, too, and have six letters at most.
-NAMED_REFERENCES = json.dumps({name: chars for name, chars in html5.items()})
+# Character references of the HTML standard; `html5` names the characters of the named ones. Those
+# that may lack their semicolon are listed without it, too, and have six letters at most.
+REFERENCE = re.compile("(&#(?:[0-9]+|[xX][0-9a-fA-F]+);?|&[A-Za-z][A-Za-z0-9]*;?)")
 LONGEST_OPEN_NAME = max(len(name) for name in html5 if not name.endswith(";"))
 
 # Numbers that the standard reads in the Windows code page instead.
@@ -115,38 +118,44 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD_CLASS}]+)"), 1)
 
 
-def _numeric_reference(part: Column) -> Column:
-    """`&#65;` or `&#x41` to its character; no such character gives the replacement character."""
-    hexadecimal = F.ltrim(F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]+)", 1), F.lit("0"))
-    decimal = F.ltrim(F.regexp_extract(part, "^&#([0-9]+)", 1), F.lit("0"))
+def _numeric_reference(digits: str) -> str:
+    """`65` or `x41` to its character; no such character gives the replacement character."""
+    base = 16 if digits[0] in "xX" else 10
+    digits = digits.lstrip("xX0")
     # More digits than the last code point has are beyond it.
-    number = F.when(
-        part.rlike("^&#[xX]"),
-        F.when(F.length(hexadecimal) <= 6, F.conv(hexadecimal, 16, 10).cast("long")),
-    ).otherwise(F.when(F.length(decimal) <= 7, decimal.cast("long")))
-    number = F.when((hexadecimal == "") & (decimal == ""), F.lit(0)).otherwise(number)
-    page = F.from_json(F.lit(json.dumps(CODE_PAGE)), "map<string,string>")
-    none = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
-    digits = F.lpad(F.hex(number), 8, "0")
-    return (
-        F.when(none, F.lit("\ufffd"))
-        .when(number.between(0x80, 0x9F), F.try_element_at(page, number.cast("string")))
-        .otherwise(F.decode(F.unhex(digits), "UTF-32"))
-    )
+    number = int(digits, base) if 0 < len(digits) <= 7 else 0
+    if number == 0 or number > 0x10FFFF or 0xD800 <= number <= 0xDFFF:
+        return "\ufffd"
+    return CODE_PAGE.get(number, chr(number))
 
 
-def _named_reference(part: Column) -> Column:
-    """`&eacute;`, or the longest open name it begins with; anything else stays."""
-    names = F.from_json(F.lit(NAMED_REFERENCES), "map<string,string>")
-    name = F.substr(part, F.lit(2))
-    heads = [F.struct(name.alias("head"), F.lit("").alias("rest"))]
-    for length in range(LONGEST_OPEN_NAME, 1, -1):
-        head, rest = F.substring(name, 1, length), F.substr(name, F.lit(length + 1))
-        heads.append(F.struct(head.alias("head"), rest.alias("rest")))
-    found = F.transform(
-        F.array(*heads), lambda x: F.concat(F.try_element_at(names, x["head"]), x["rest"])
-    )
-    return F.coalesce(F.get(F.array_compact(found), F.lit(0)), part)
+def _named_reference(name: str) -> str:
+    """`eacute;`, or the longest open name it begins with; anything else stays."""
+    for length in (len(name), *range(min(LONGEST_OPEN_NAME, len(name)), 1, -1)):
+        if name[:length] in html5:
+            return html5[name[:length]] + name[length:]
+    return f"&{name}"
+
+
+@lru_cache(maxsize=1 << 16)
+def _resolved(reference: str) -> str:
+    if reference[1] == "#":
+        return _numeric_reference(reference[2:].rstrip(";"))
+    return _named_reference(reference[1:])
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    """Texts cut at their references, which a task works out once each."""
+
+    def unescaped(text: str | None) -> str | None:
+        if text is None or "&" not in text:
+            return text
+        parts = REFERENCE.split(text)
+        parts[1::2] = map(_resolved, parts[1::2])
+        return "".join(parts)
+
+    return pd.Series([unescaped(text) for text in texts], dtype=object)
 
 
 def unescape(text: Column) -> Column:
@@ -154,19 +163,7 @@ def unescape(text: Column) -> Column:
 
     A numeric reference or an old name may lack its semicolon; unknown names stay as they are.
     """
-    numeric = "&#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
-    named = "&[A-Za-z][A-Za-z0-9]*;?"
-    parts = F.regexp_extract_all(text, F.lit(f"({numeric}|{named}|[^&]+|&)"), 1)
-    resolved = F.array_join(
-        F.transform(
-            parts,
-            lambda p: F.when(p.rlike(f"^{numeric}$"), _numeric_reference(p))
-            .when(p.rlike(f"^{named}$"), _named_reference(p))
-            .otherwise(p),
-        ),
-        "",
-    )
-    return F.when(F.contains(text, F.lit("&")), resolved).otherwise(text)
+    return _unescaped(text)
 
 
 def squeeze_lines(text: Column) -> Column:

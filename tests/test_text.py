@@ -1,6 +1,9 @@
 import html
+import time
+
 import pytest
 
+import registry
 from skilltrail.functions import charts, text as X
 from pyspark.sql import functions as F
 
@@ -61,6 +64,23 @@ def test_unescape_resolves_every_reference_once(one):
     assert one(X.unescape, None) is None and one(X.unescape, "") == ""
 
 
+def test_unescape_of_a_text_of_references_alone(one):
+    text = "aé😀"
+    start = time.time()
+    assert one(X.unescape, "".join(f"&#{ord(c)};&#x{ord(c):X};" for c in text) * 150_000) == "aaéé😀😀" * 150_000
+    assert time.time() - start < 8
+
+
+def test_decoded_references_give_the_texts(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "a\x01&amp;\né😀\x00" * 3), (4, "x"), (4, "x")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in registry.decoded_references(spark, str(tmp_path)).collect()]
+    # The standard reads no character in the number 0.
+    want = [(i, x and x.replace("\x00", "\ufffd")) for i, x in rows]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_titles(one):
     assert one(X.title_career, "Director, Design and Product Development") == (
         "director+design+and+product+development"
