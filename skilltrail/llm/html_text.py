@@ -1,10 +1,11 @@
 """Main text of web pages: structure first, then differences to the page of the nearest URL.
 
 A page becomes lines, one per block. What stands in menus, headers, footers, sidebars, forms,
-adverts, notices or comments by element, role or class is no candidate. In pages with an
-article element its lines are the text. In others, pages are paired inside each host with the
-page of nearest URL path, the two lists of lines are aligned by longest common subsequence,
-and shared lines, the furniture of the site, are deleted.
+adverts, notices or comments by element, role or class is no candidate. Pages are paired inside
+each host with the page of nearest URL path, the two lists of lines are aligned by longest common
+subsequence, and shared lines, the furniture of the site, are deleted. Lines of an article element
+are protected, as pages may share them. Without a partner to tell furniture by, a page with an
+article has the article's lines as text.
 """
 
 from __future__ import annotations
@@ -81,11 +82,12 @@ def _is_outside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def page_lines(html: str | None) -> tuple[list[str], bool, list[str]]:
-    """The candidate lines of a page, whether they are those of its article elements, and all lines."""
+def page_lines(html: str | None) -> tuple[list[str], list[bool], list[str]]:
+    """The lines of a page by its structure alone, and all candidates, with those inside article elements marked."""
     html = html or ""
     inside: list[str] = []
     every: list[str] = []
+    marks: list[bool] = []
     piece: list[str] = []
     depth = 0  # open article or main elements
     skipping, nested = "", 0  # element that is no part of the text, and those of its name inside
@@ -97,6 +99,7 @@ def page_lines(html: str | None) -> tuple[list[str], bool, list[str]]:
             piece.clear()
             if line:
                 every.append(line)
+                marks.append(depth > 0)
                 if depth:
                     inside.append(line)
 
@@ -145,7 +148,7 @@ def page_lines(html: str | None) -> tuple[list[str], bool, list[str]]:
         elif name in ("article", "main"):
             depth += 1
     close()
-    return (inside, True, every) if inside else (every, False, every)
+    return inside or every, marks, every
 
 
 def shared_lines(one: list[int], other: list[int]) -> list[int]:
@@ -178,7 +181,7 @@ def shared_lines(one: list[int], other: list[int]) -> list[int]:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """All columns of `pages`, and its candidate lines, whether from an article, all lines, host, path and prints."""
+    """All columns of `pages`, and its candidate lines, which are inside an article, host, path and prints."""
     at = pages.columns.index("html")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,15 +192,13 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *some.columns,
-                        pa.array([x for x, _, _ in found], pa.list_(pa.string())),
-                        pa.array([y for _, y, _ in found], pa.bool_()),
-                        pa.array([z for _, _, z in found], pa.list_(pa.string())),
+                        pa.array([marks for _, marks, _ in found], pa.list_(pa.bool_())),
+                        pa.array([every for _, _, every in found], pa.list_(pa.string())),
                     ],
-                    names=[*some.schema.names, "_lines", "_article", "_every"],
+                    names=[*some.schema.names, "_inside", "_every"],
                 )
 
-    lines = F.array(F.lit(""))
-    schema = pages.select("*", lines.alias("_lines"), F.lit(False).alias("_article"), lines.alias("_every")).schema
+    schema = pages.select("*", F.array(F.lit(False)).alias("_inside"), F.array(F.lit("")).alias("_every")).schema
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     return pages.mapInArrow(parse, schema).withColumns(
         {
@@ -210,7 +211,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
 
 
 def _shared(parsed: DataFrame) -> DataFrame:
-    """For distinct pages without article: the lines they share with the page of nearest path.
+    """For distinct pages: marks of the lines they share with the page of nearest path, null without one.
 
     Neighbours with the same lines are one entry, whose partner is the last page of the entry
     before it or the first page of the one behind it; all its pages lose the same lines.
@@ -219,7 +220,7 @@ def _shared(parsed: DataFrame) -> DataFrame:
     hashes = F.transform("_every", lambda x: F.xxhash64(x)).alias("_hashes")
     listed = (
         parsed.where("_host != ''")
-        .select(*keys, "_article", hashes)
+        .select(*keys, hashes)
         .dropDuplicates(["_k1", "_k2"])
         .repartitionByRange(*keys)
         .withColumn("_part", F.spark_partition_id())
@@ -239,7 +240,6 @@ def _shared(parsed: DataFrame) -> DataFrame:
         F.first("_hashes").alias("_hashes"),
         F.min(order).alias("_low"),
         F.max(order).alias("_high"),
-        F.bool_or(~F.col("_article")).alias("_asked"),
     )
     first = F.struct("_host", F.col("_low._path").alias("_path"), "_hashes")
     last = F.struct("_host", F.col("_high._path").alias("_path"), "_hashes")
@@ -276,9 +276,7 @@ def _shared(parsed: DataFrame) -> DataFrame:
         .drop("_whole")
     )
     rows = (
-        entries.where("_asked")
-        .join(edges, ["_part", "_run"], "left")
-        .select(
+        entries.join(edges, ["_part", "_run"], "left").select(
             "_part",
             "_run",
             F.struct("_host", F.col("_low._path").alias("_from"), F.col("_high._path").alias("_to"), "_hashes").alias("own"),
@@ -301,14 +299,17 @@ def _shared(parsed: DataFrame) -> DataFrame:
             for own, before, behind in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 near = [(x, own[end]) for x, end in ((before, "_from"), (behind, "_to")) if x and x["_host"] == own["_host"]]
                 partner, _ = max(near, key=lambda x: common(x[0]["_path"], x[1]), default=(None, None))
-                found.append(shared_lines(own["_hashes"], partner["_hashes"]) if partner else [])
+                marks = [False] * len(own["_hashes"]) if partner else None
+                for place in shared_lines(own["_hashes"], partner["_hashes"]) if partner else ():
+                    marks[place] = True
+                found.append(marks)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.bool_()))],
                 names=["_part", "_run", "_gone"],
             )
 
-    gone = rows.mapInArrow(align, "_part int, _run long, _gone array<int>")
-    return numbered.where("not _article").join(gone, ["_part", "_run"]).select("_k1", "_k2", "_gone")
+    gone = rows.mapInArrow(align, "_part int, _run long, _gone array<boolean>")
+    return numbered.join(gone, ["_part", "_run"]).select("_k1", "_k2", "_gone")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -317,19 +318,21 @@ def main_text(pages: DataFrame) -> DataFrame:
     Character references are decoded, white space in a block is one space, blocks are joined
     in page order by one space; nothing else is dropped. A null or empty page, and one without
     text, has the empty text. A page whose URL has no host, or that has no partner with other
-    lines in its host, keeps all its candidate lines. Equal rows give equal rows. Columns named
+    lines in its host, keeps its articles' lines or, without any, all its candidate lines. Equal rows give equal rows. Columns named
     text and n_chars are replaced; an empty table stays empty.
     """
     pages = pages.drop("text", "n_chars")
     parsed = _parsed(pages)
-    kept = F.filter("_lines", lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
-    plain = parsed.where("_article").select(*pages.columns, F.array_join("_lines", " ").alias("text"))
-    other = (
-        parsed.where("not _article")
-        .join(_shared(_parsed(pages.select("url", "html"))), ["_k1", "_k2"], "left")
-        .select(*pages.columns, F.array_join(kept, " ").alias("text"))
-    )
-    return plain.unionByName(other).withColumn("n_chars", F.char_length("text").cast("long"))
+    found = parsed.join(_shared(_parsed(pages.select("url", "html"))), ["_k1", "_k2"], "left")
+    inside = lambda i: F.get("_inside", i)
+    # Marks are looked up by place, so that a page costs as much as it has lines.
+    differing = F.filter("_every", lambda x, i: inside(i) | ~F.get("_gone", i))
+    by_structure = F.when(
+        F.array_contains("_inside", True), F.filter("_every", lambda x, i: inside(i))
+    ).otherwise(F.col("_every"))
+    lines = F.when(F.col("_gone").isNull(), by_structure).otherwise(differing)
+    text = found.select(*pages.columns, F.array_join(lines, " ").alias("text"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,11 @@ def test_runs_of_copies_have_partners(spark, parts):
     for r in found:
         whole = "Site menu Story e body of e All rights reserved"
         assert r.text == (f"Story {r.x} body of {r.x}" if r.x else whole), r.page_id
+
+
+def test_differences_decide_in_pages_with_an_article(spark):
+    """A teaser article does not stand for the page; without partner the article is all there is to go by."""
+    page = "<div>Site menu</div><div>Story {0}</div><article><p>teaser</p></article><div>All rights reserved</div>"
+    rows = [(i, f"http://hot.org/en/{i}", page.format(i)) for i in range(5)] + [(9, "http://alone.org/", page.format(9))]
+    found = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {**{i: f"Story {i} teaser" for i in range(5)}, 9: "teaser"}
