@@ -204,14 +204,14 @@ def _parsed(pages: DataFrame) -> DataFrame:
         {
             "_host": host,
             "_path": path,
-            "_k1": F.xxhash64(host, path, "_every"),
-            "_k2": F.xxhash64(F.lit(7), "_every", path, host),
+            "_k1": F.xxhash64(host, path, "_every", "_inside"),
+            "_k2": F.xxhash64(F.lit(7), "_inside", "_every", path, host),
         }
     )
 
 
 def _shared(parsed: DataFrame) -> DataFrame:
-    """For distinct pages: marks of the lines they share with the page of nearest path, null without one.
+    """Marks of the lines shared with the page of nearest path, for distinct pages whose text they change.
 
     Neighbours with the same lines are one entry, whose partner is the last page of the entry
     before it or the first page of the one behind it; all its pages lose the same lines.
@@ -220,7 +220,7 @@ def _shared(parsed: DataFrame) -> DataFrame:
     hashes = F.transform("_every", lambda x: F.xxhash64(x)).alias("_hashes")
     listed = (
         parsed.where("_host != ''")
-        .select(*keys, hashes)
+        .select(*keys, "_inside", hashes)
         .dropDuplicates(["_k1", "_k2"])
         .repartitionByRange(*keys)
         .withColumn("_part", F.spark_partition_id())
@@ -309,7 +309,14 @@ def _shared(parsed: DataFrame) -> DataFrame:
             )
 
     gone = rows.mapInArrow(align, "_part int, _run long, _gone array<boolean>")
-    return numbered.join(gone, ["_part", "_run"]).select("_k1", "_k2", "_gone")
+    marks = F.zip_with("_inside", "_gone", lambda kept, shared: ~kept & (shared != F.array_contains("_inside", True)))
+    # With an article, lines outside that are not shared change the text; without, lines that are.
+    # Mostly few pages: written, so that the texts need not be dealt out to meet them.
+    return cut(
+        numbered.join(gone.where("_gone is not null"), ["_part", "_run"])
+        .where(F.exists(marks, lambda x: x))
+        .select("_k1", "_k2", "_gone")
+    )
 
 
 def main_text(pages: DataFrame) -> DataFrame:
