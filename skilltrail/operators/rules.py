@@ -114,9 +114,13 @@ def _first_reaching(itemsets: DataFrame, careers: DataFrame, need: int) -> DataF
 
 
 def _tighten(itemsets: DataFrame, careers: DataFrame, enough: int) -> DataFrame:
-    """Lower `high` to the first halving that already has enough itemsets."""
+    """Lower `high` to the first halving that already has enough itemsets.
+
+    The halvings are written first: these tables are so small that all their steps would else
+    run in one task, which holds some pages of memory for each.
+    """
     return (
-        careers.join(_first_reaching(itemsets, careers, enough), "career", "left")
+        careers.join(cut(_first_reaching(itemsets, careers, enough)), "career", "left")
         .withColumn("done", F.col("first") <= F.col("high"))
         .withColumn("done", F.coalesce("done", F.lit(False)))
         .withColumn("high", F.when(F.col("done"), F.col("first")).otherwise(F.col("high")))
@@ -198,7 +202,8 @@ def frequent_itemsets(
     """
     sets = cut(_numbered(transactions(listings)))
     last = F.greatest(F.lit(1), F.ceil(F.log2("n")).cast("int"))
-    careers = (
+    # Read in every pass: written, the sets are counted once.
+    careers = cut(
         sets.groupBy("career")
         .agg(F.sum("w").alias("n"))
         .where(F.col("n") > min_listings)
@@ -208,15 +213,15 @@ def frequent_itemsets(
         _item_counts(sets, lexicon).join(careers.select("career"), "career", "left_semi")
     )
     # First halving at which the frequent items could have enough subsets at all.
-    could = _first_reaching(items, careers, math.ceil(math.log2(enough + 1)))
+    could = cut(_first_reaching(items, careers, math.ceil(math.log2(enough + 1))))
     waiting = careers.join(could, "career", "left").select(
         "career", "n", "last", F.coalesce("first", "last").alias("low")
     )
     mined = None
     while True:
         # Each pass mines the careers still short of itemsets, a few halvings further.
-        start = waiting.withColumn(
-            "high", F.least(F.col("last"), F.col("low") + F.lit(_LOOK_AHEAD))
+        start = cut(
+            waiting.withColumn("high", F.least(F.col("last"), F.col("low") + F.lit(_LOOK_AHEAD)))
         )
         levels = [items]
         # The careers table is small and read many times over: written, plans stay short.

@@ -204,3 +204,22 @@ def test_subsets(spark):
     for size, n in ((3, 4), (2, 6), (1, 4)):
         got = [tuple(r.subset) for r in suggest.skill_subsets(users, size).collect()]
         assert len(got) == n and set(got) == set(itertools.combinations("abcd", size))
+
+
+def test_mining_writes_small_tables_in_short_plans(spark, monkeypatch):
+    """A chain of steps in one task holds pages of memory for each of them."""
+    steps = []
+
+    def counting(write):
+        def written(df):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            steps.append(sum(plan.count(f"{name}(") + plan.count(f"{name} [") for name in ("HashAggregate", "Sort", "Window")))
+            return write(df)
+
+        return written
+
+    monkeypatch.setattr(rules, "cut", counting(rules.cut))
+    monkeypatch.setattr(rules, "cut_counted", counting(rules.cut_counted))
+    rows = [("c", [f"s{(i * k) % 7}" for k in (1, 2, 3)]) for i in range(60)]
+    rules.frequent_itemsets(frame(spark, rows), enough=20).collect()
+    assert max(steps) <= 12
