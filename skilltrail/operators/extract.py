@@ -2,7 +2,7 @@
 
 A text is cut into pieces (runs of word characters, single other characters), piece
 n-grams are looked up in the dictionary by equi-joins, and the overlaps among the hits
-of one text are settled longest phrase first. With a dictionary that can be broadcast
+of one text are settled longest phrase first, for many texts at once. With a dictionary that can be broadcast
 only hits are shuffled, once, by text key.
 
 Boundaries are those of the given text: settling a phrase does not move the word
@@ -11,9 +11,12 @@ boundaries of its neighbours.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +29,10 @@ _PIECE = f"([{WORD_CLASS}]+|[^{WORD_CLASS}])"
 
 _HIT = ["n", "length", "ord", "skill", "symbol_first", "symbol_last"]
 
+_FOUND = T.StructField(
+    "found", T.ArrayType(T.StructType().add("skill", T.StringType()).add("n", T.LongType(), False))
+)
+
 
 def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_PIECE), 1)
@@ -122,57 +129,95 @@ def _hits_shuffled(texts: DataFrame, key: list[str], phrases: DataFrame) -> Data
 #: Runs of more overlapping hits than this are settled by `_settle_long`.
 LONG_RUN = 16
 
+#: Hits settled at once, but for a text that has more.
+HITS_AT_ONCE = 1 << 20
 
-def _settle(hits: Column) -> Column:
-    """Skills of one short run of overlapping hits, best first, none sharing a piece."""
-    start = F.struct(
-        F.array().cast("array<int>").alias("taken"), F.array().cast("array<string>").alias("kept")
-    )
 
-    def step(state, hit):
-        span = F.sequence(hit["start"], hit["start"] + hit["n"] - 1)
-        return F.when(F.arrays_overlap(state["taken"], span), state).otherwise(
-            F.struct(
-                F.concat(state["taken"], span).alias("taken"),
-                F.concat(state["kept"], F.array(hit["skill"])).alias("kept"),
-            )
-        )
+def _settle_short(order: np.ndarray, run: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Hits kept of short runs, given in the order of their runs and best first in each.
 
-    return F.aggregate(F.array_sort(hits), start, step, lambda state: state["kept"])
+    Every round keeps the best hit left of each run and drops those that share a piece with it.
+    """
+    kept = []
+    while len(order):
+        first = np.r_[True, run[order[1:]] != run[order[:-1]]]
+        kept.append(order[first])
+        best = order[first][np.cumsum(first) - 1]
+        order = order[(start[order] >= end[best]) | (end[order] <= start[best])]
+    return kept
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _settle_long(runs: pd.Series) -> pd.Series:
-    """The same for long runs, which a fold over arrays would settle in quadratic time.
+def _settle_long(order: np.ndarray, run: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
+    """The same for long runs, which rounds would settle in quadratic time.
 
-    Short runs arrive as null and stay so. A piece is marked once, so a run of any length
-    costs a sort and one pass.
+    A piece is marked once, so a run of any length costs a sort and one pass.
     """
+    kept = []
+    for hits in np.split(order, np.flatnonzero(np.diff(run[order])) + 1) if len(order) else []:
+        first = start[hits].min()
+        taken = bytearray(int(end[hits].max() - first))
+        for hit, a, b in zip(hits.tolist(), (start[hits] - first).tolist(), (end[hits] - first).tolist(), strict=True):
+            if not any(taken[a:b]):
+                taken[a:b] = b"\x01" * (b - a)
+                kept.append(hit)
+    return kept
+
+
+def _settled(lists: pa.ListArray) -> pa.ListArray:
+    """Skills of each text with their counts, from its hits: longest first, none sharing a piece."""
+    hits = lists.flatten()
+    text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    start, n, rank = (hits.field(c).to_numpy().astype(np.int64) for c in ("start", "n", "rank"))
+    ord = hits.field("ord").fill_null(np.iinfo(np.int64).min).to_numpy()
+    names = hits.field("skill").dictionary_encode("encode")
+    by_name = pc.sort_indices(names.dictionary, null_placement="at_start").to_numpy()
+    place = np.empty(len(by_name), dtype=np.int64)
+    place[by_name] = np.arange(len(by_name))
+    skill = place[names.indices.to_numpy()]
+    # One text after the other, none in reach of the next.
+    start = start + text * (int((start + n).max()) + 1)
+    end = start + n
+    in_place = np.lexsort((n, start))
+    reach = np.maximum.accumulate(end[in_place])
+    run = np.empty(len(hits), dtype=np.int64)
+    run[in_place] = np.cumsum(np.r_[True, start[in_place][1:] >= reach[:-1]]) - 1
+    size = np.bincount(run)[run]
+    shared = np.flatnonzero(size > 1)
+    order = shared[np.lexsort(tuple(c[shared] for c in (skill, n, start, ord, rank, run)))]
+    long = size[order] > LONG_RUN
+    kept = np.concatenate(
+        [
+            np.flatnonzero(size == 1),
+            *_settle_short(order[~long], run, start, end),
+            np.array(_settle_long(order[long], run, start, end), dtype=np.int64),
+        ]
+    )
+    found, counts = np.unique(text[kept] * len(by_name) + skill[kept], return_counts=True)
+    owner, skill = np.divmod(found, len(by_name))
+    return pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(owner, np.arange(len(lists) + 1)).astype(np.int32)),
+        pa.StructArray.from_arrays(
+            [names.dictionary.take(pa.array(by_name[skill])), pa.array(counts.astype(np.int64))], names=["skill", "n"]
+        ),
+    )
 
-    def settle(run):
-        if run is None:
-            return None
-        first = min(hit["start"] for hit in run)
-        taken = bytearray(max(hit["start"] + hit["n"] for hit in run) - first)
-        kept = []
-        order = sorted((h["rank"], h["ord"], h["start"], h["n"], h["skill"]) for h in run)
-        for _, _, start, n, skill in order:
-            at = start - first
-            if not any(taken[at : at + n]):
-                taken[at : at + n] = bytes([1]) * n
-                kept.append(skill)
-        return kept
-
-    return runs.map(settle)
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a key and its hits, each with `found` in place of the hits; bounded pieces of a batch."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("hits").value_lengths().to_numpy())
+        at = 0
+        while at < len(batch):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + HITS_AT_ONCE, "right")))
+            part = batch.slice(at, to - at)
+            columns = [*part.columns[:-1], _settled(part.column("hits"))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "found"])
+            at = to
 
-def match_skills(
-    texts: DataFrame, lexicon: DataFrame, key: list[str], text: str = "text", ignore=()
-) -> DataFrame:
-    """Rows `(*key, skill, n)`: how often each skill is mentioned in each text.
 
-    `key` must identify a text. Texts without any skill have no row.
-    """
+def _found(texts: DataFrame, lexicon: DataFrame, key: list[str], text: str, ignore) -> DataFrame:
+    """Rows `(*key, found)`: the `(skill, n)` of each text that has any."""
     phrases = cut(_phrases(lexicon, list(ignore)))
     pieces = texts.select(*key, _pieces(normalise(F.col(text))).alias("p"))
     small = measured_bytes(phrases) <= BROADCAST_BYTES
@@ -183,30 +228,19 @@ def match_skills(
         .where(~F.col("symbol_last") | F.coalesce(F.col("after").rlike(word), F.lit(False)))
         .select(*key, "start", "n", "length", "ord", "skill")
     )
-    by_place = W.partitionBy(*key).orderBy("start", "n")
-    earlier = by_place.rowsBetween(W.unboundedPreceding, -1)
-    reach = F.max(F.col("start") + F.col("n")).over(earlier)
-    runs = hits.withColumn("reach", reach).withColumn(
-        "run",
-        F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(
-            by_place.rowsBetween(W.unboundedPreceding, 0)
-        ),
-    )
-    best_first = F.struct((-F.col("length")).alias("rank"), "ord", "start", "n", "skill")
-    settled = runs.groupBy(*key, "run").agg(F.collect_list(best_first).alias("hits"))
-    alone = F.array(F.col("hits")[0]["skill"])
-    long = _settle_long(F.when(F.size("hits") > LONG_RUN, F.col("hits")))
-    settled = settled.withColumn("long", long)
-    kept = (
-        F.when(F.size("hits") == 1, alone)
-        .when(F.size("hits") <= LONG_RUN, _settle(F.col("hits")))
-        .otherwise(F.col("long"))
-    )
-    return (
-        settled.select(*key, F.explode(kept).alias("skill"))
-        .groupBy(*key, "skill")
-        .agg(F.count("*").alias("n"))
-    )
+    hit = F.struct("start", "n", (-F.col("length")).alias("rank"), "ord", "skill")
+    grouped = hits.groupBy(*key).agg(F.collect_list(hit).alias("hits"))
+    return grouped.mapInArrow(_settle, T.StructType([*grouped.schema.fields[:-1], _FOUND]))
+
+
+def match_skills(
+    texts: DataFrame, lexicon: DataFrame, key: list[str], text: str = "text", ignore=()
+) -> DataFrame:
+    """Rows `(*key, skill, n)`: how often each skill is mentioned in each text.
+
+    `key` must identify a text. Texts without any skill have no row.
+    """
+    return _found(texts, lexicon, key, text, ignore).select(*key, F.inline("found"))
 
 
 def resume_skills(
@@ -216,17 +250,10 @@ def resume_skills(
     return match_skills(resumes, lexicon, key, text, RESUME_HEADINGS).select(*key, "skill")
 
 
-def skill_bags(counts: DataFrame, key: list[str]) -> DataFrame:
-    """Counts back to one array per text, a skill repeated as often as it occurs."""
-    repeated = F.array_repeat(F.col("skill"), F.col("n").cast("int"))
-    return counts.groupBy(*key).agg(
-        F.array_sort(F.flatten(F.collect_list(repeated))).alias("skills")
-    )
-
-
 def with_skills(
     texts: DataFrame, lexicon: DataFrame, key: list[str], text: str = "text", ignore=()
 ) -> DataFrame:
     """Texts in which at least one skill was found, with their skill array."""
-    bags = skill_bags(match_skills(texts, lexicon, key, text, ignore), key)
+    repeated = F.transform("found", lambda f: F.array_repeat(f["skill"], f["n"].cast("int")))
+    bags = _found(texts, lexicon, key, text, ignore).select(*key, F.sort_array(F.flatten(repeated)).alias("skills"))
     return texts.join(bags, key)

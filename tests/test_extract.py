@@ -110,3 +110,11 @@ def test_partitioning_does_not_matter(spark):
     a = E.match_skills(frame.repartition(1), lex, ["id"])
     b = E.match_skills(frame.repartition(7).orderBy(F.desc("id")), lex, ["id"])
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_hits_are_neither_windowed_nor_folded(spark):
+    """Hits of a text are settled together, without a sort of all hits by place."""
+    frame = spark.createDataFrame([(1, "sql and sql server and java")], "id int, text string")
+    found = E.match_skills(frame, lexicon_of(spark, ["SQL", "SQL Server", "Java"]), ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "aggregate(" not in plan
