@@ -78,17 +78,16 @@ def _bags(listings: DataFrame, distinct: bool) -> DataFrame:
         .select(
             "career",
             F.col("unique_url").cast("string").alias("unique_url"),
-            F.array_sort(words).alias("bag"),
+            F.sort_array(words).alias("bag"),
         )
         .withColumn("name", _digest(F.col("bag")))
     )
 
 
-def _profile_terms(bags: DataFrame) -> DataFrame:
-    """Rows `(career, profile, copies, n_listed, skill, tf)` of distinct bags.
+def _profile_skills(bags: DataFrame) -> DataFrame:
+    """Rows `(career, name, profile, copies, n_listed, skill)` of distinct bags.
 
-    A profile is called by the first URL that has its bag. The name stays a key to the end,
-    so the counts need no exchange beyond the one that brings equal bags together.
+    A profile is called by the first URL that has its bag.
     """
     return (
         bags.groupBy("career", "name")
@@ -101,6 +100,17 @@ def _profile_terms(bags: DataFrame) -> DataFrame:
             "career", "name", "profile", "copies", F.size("bag").alias("n_listed"),
             F.explode("bag").alias("skill"),
         )
+    )
+
+
+def _profile_terms(bags: DataFrame) -> DataFrame:
+    """Rows `(career, profile, copies, n_listed, skill, tf)` of distinct bags.
+
+    The name stays a key to the end, so the counts need no exchange beyond the one that brings
+    equal bags together.
+    """
+    return (
+        _profile_skills(bags)
         .groupBy("career", "name", "profile", "copies", "n_listed", "skill")
         .agg(F.count("*").alias("tf"))
         .drop("name")
@@ -399,12 +409,14 @@ def _cosine_index(bags: DataFrame, askers: DataFrame) -> tuple[Index, DataFrame]
 
     Lengths are added up from all skills, postings are kept for asked skills alone.
     """
-    terms = _profile_terms(bags)
+    # Read for the IDF and for the weights.
+    terms = cut(_profile_terms(bags))
     sizes = bags.groupBy("career").agg(F.count("*").alias("n_docs"))
     idf = scoped_idf(terms, sizes, ["career"], "copies")
-    # Nearly as many skills as terms: merged where the counts lie, never sent to every task.
+    # Nearly as many skills as terms: met where the counts lie, never sent to every task, and
+    # looked up, so that terms need not be sorted.
     weighted = cut(
-        terms.join(idf.hint("merge"), ["career", "skill"]).select(
+        terms.join(idf.hint("shuffle_hash"), ["career", "skill"]).select(
             "career", "profile", "skill", "df", "idf", (F.col("tf") * F.col("idf")).alias("weight")
         )
     )
@@ -431,7 +443,8 @@ def _cosine_index(bags: DataFrame, askers: DataFrame) -> tuple[Index, DataFrame]
 
 def _jaccard_index(bags: DataFrame, wanted: DataFrame) -> Index:
     """Index of the profiles' set sizes, as negative values: small sets have the greater impact."""
-    terms = cut(_asked_only(_profile_terms(bags), wanted))
+    # The bags are sets: every skill of a profile is there once.
+    terms = cut(_asked_only(_profile_skills(bags).drop("name"), wanted))
     lists = terms.groupBy("career", "skill").agg(F.count("*").alias("n_listing"))
     return Index.build(
         terms.join(lists, ["career", "skill"]).select(

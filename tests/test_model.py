@@ -222,3 +222,15 @@ def test_jaccard(spark):
         stored.withColumn("title", F.lit("T")).withColumn("location", F.lit("L")),
     )
     assert described.first().title == "T"
+
+
+def test_sets_of_skills_are_not_counted_again(spark, monkeypatch):
+    """A bag of the Jaccard search is a set, so its skills need no grouping by profile."""
+    monkeypatch.setattr(listings, "_profile_terms", None)
+    stored = spark.createDataFrame(
+        [("c", "a", ["x", "y", "X"]), ("c", "b", ["z"])], "career string, unique_url string, skills array<string>"
+    )
+    requests = spark.createDataFrame([(1, "c")], "user_id int, career string")
+    skills = spark.createDataFrame([(1, "x")], "user_id int, skill string")
+    got = listings.rank_listings_jaccard(requests, skills, stored).orderBy("rank").collect()
+    assert [(r["unique_url"], r["sim"]) for r in got] == [("a", 0.5), ("b", 0.0)]
