@@ -289,11 +289,14 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.withColumn("component", F.coalesce("component", "cid"))
 
 
-def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+def _cross_pairs(
+    members: DataFrame, registers: DataFrame, spots: DataFrame, threshold: float, best_only: bool
+) -> DataFrame:
     """Likely pairs between different components of one bucket: lists a and b, and their spot.
 
-    `members` has key, cid, component, n_shingles, spot and registers. A bucket is cut into blocks
-    of about BLOCK members by a hash, and blocks are compared pair by pair, so a group is
+    `members` has key, cid and component, `registers` doc_id, n_shingles and registers, `spots`
+    cid and spot; registers are joined to the members of mixed buckets alone. A bucket is cut into
+    blocks of about BLOCK members by a hash, and blocks are compared pair by pair, so a group is
     bounded. Only likely pairs leave it; with `best_only` just the likeliest of two components.
     """
     sizes = members.groupBy("key").agg(
@@ -302,6 +305,8 @@ def _cross_pairs(members: DataFrame, threshold: float, best_only: bool) -> DataF
     mixed_keys = cut(sizes.where("low < high").select("key", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks")))
     rows = (
         members.join(mixed_keys, "key")
+        .join(registers.withColumnRenamed("doc_id", "cid"), "cid")
+        .join(spots, "cid")
         .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -440,8 +445,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         def cross(best_only: bool) -> DataFrame:
             """Linked pairs of classes that share a bucket but, so far, no component."""
             rows = _labelled(members.select("key", "cid"), labels)
-            rows = rows.join(registers.withColumnRenamed("doc_id", "cid"), "cid").join(spots, "cid")
-            return cut(verified(_cross_pairs(rows, threshold, best_only), texts, size, percent))
+            pairs = _cross_pairs(rows, registers, spots, threshold, best_only)
+            return cut(verified(pairs, texts, size, percent))
 
         # The likeliest pair of two components joins most that belong together ...
         for _ in range(BEST_ROUNDS):
