@@ -3,7 +3,7 @@
 A text is cut into pieces (runs of word characters, single other characters), piece
 n-grams are looked up in the dictionary by equi-joins, and the overlaps among the hits
 of one text are settled longest phrase first, for many texts at once. With a dictionary that can be broadcast
-only hits are shuffled, once, by text key.
+only texts are shuffled, once, by their key, and hits are settled in the task that finds them.
 
 Boundaries are those of the given text: settling a phrase does not move the word
 boundaries of its neighbours.
@@ -26,16 +26,25 @@ from ..sizes import BROADCAST_BYTES, measured_bytes
 
 _PIECE = f"([{WORD_CLASS}]+|[^{WORD_CLASS}])"
 
+#: Set around every character that is no word character, to cut there.
+_CUT = "\0"
 
 _HIT = ["n", "length", "ord", "skill", "symbol_first", "symbol_last"]
 
+#: What settling reads of a hit, after the key.
+_SETTLED_BY = ["start", "n", "rank", "ord", "skill"]
+
 _FOUND = T.StructField(
     "found", T.ArrayType(T.StructType().add("skill", T.StringType()).add("n", T.LongType(), False))
 )
 
 
 def _pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_PIECE), 1)
+    """Pieces of a text, by a plain split, which costs far less than a match for each piece."""
+    marked = F.regexp_replace(text, f"[^{WORD_CLASS}]", f"{_CUT}$0{_CUT}")
+    return F.when(F.contains(text, F.lit(_CUT)), F.regexp_extract_all(text, F.lit(_PIECE), 1)).otherwise(
+        F.array_remove(F.split(marked, _CUT), "")
+    )
 
 
 def build_lexicon(skills: DataFrame, skill: str = "skill", ord: str = "ord") -> DataFrame:
@@ -81,7 +90,7 @@ def _hits_in_place(texts: DataFrame, key: list[str], phrases: DataFrame) -> Data
     """
     heads = phrases.groupBy("head").agg(F.collect_set("n").alias("lengths"))
     # The outer form keeps the optimizer from cutting every text twice for a size filter.
-    at = texts.select(*key, "p", F.posexplode_outer("p").alias("i", "head"))
+    at = texts.select(*key, "p", F.posexplode_outer("p").alias("i", "head")).where("head != ' '")
     sized = at.join(F.broadcast(heads), "head").select(
         *key, "p", "i", "head", F.explode("lengths").alias("n_pieces")
     )
@@ -130,7 +139,7 @@ def _hits_shuffled(texts: DataFrame, key: list[str], phrases: DataFrame) -> Data
 LONG_RUN = 16
 
 #: Hits settled at once, but for a text that has more.
-HITS_AT_ONCE = 1 << 20
+HITS_AT_ONCE = 1 << 18
 
 
 def _settle_short(order: np.ndarray, run: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -163,13 +172,15 @@ def _settle_long(order: np.ndarray, run: np.ndarray, start: np.ndarray, end: np.
     return kept
 
 
-def _settled(lists: pa.ListArray) -> pa.ListArray:
-    """Skills of each text with their counts, from its hits: longest first, none sharing a piece."""
-    hits = lists.flatten()
-    text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    start, n, rank = (hits.field(c).to_numpy().astype(np.int64) for c in ("start", "n", "rank"))
-    ord = hits.field("ord").fill_null(np.iinfo(np.int64).min).to_numpy()
-    names = hits.field("skill").dictionary_encode("encode")
+def _settled(hits: pa.RecordBatch, starts: np.ndarray) -> pa.ListArray:
+    """Skills of each text in ascending order with their counts, from the texts' hits one after the other.
+
+    `starts` are the first hits of the texts. Longest phrases come first, none share a piece.
+    """
+    text = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(hits)))
+    start, n, rank = (hits.column(c).to_numpy().astype(np.int64) for c in ("start", "n", "rank"))
+    ord = hits.column("ord").fill_null(np.iinfo(np.int64).min).to_numpy()
+    names = hits.column("skill").dictionary_encode("encode")
     by_name = pc.sort_indices(names.dictionary, null_placement="at_start").to_numpy()
     place = np.empty(len(by_name), dtype=np.int64)
     place[by_name] = np.arange(len(by_name))
@@ -195,42 +206,73 @@ def _settled(lists: pa.ListArray) -> pa.ListArray:
     found, counts = np.unique(text[kept] * len(by_name) + skill[kept], return_counts=True)
     owner, skill = np.divmod(found, len(by_name))
     return pa.ListArray.from_arrays(
-        pa.array(np.searchsorted(owner, np.arange(len(lists) + 1)).astype(np.int32)),
+        pa.array(np.searchsorted(owner, np.arange(len(starts) + 1)).astype(np.int32)),
         pa.StructArray.from_arrays(
             [names.dictionary.take(pa.array(by_name[skill])), pa.array(counts.astype(np.int64))], names=["skill", "n"]
         ),
     )
 
 
+def _starts(keys: list[pa.Array]) -> np.ndarray:
+    """Rows at which another text begins than in the row before."""
+    first = np.zeros(len(keys[0]), dtype=bool)
+    first[0] = True
+    for key in keys:
+        code = key.dictionary_encode("encode").indices.to_numpy()
+        first[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(first)
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a key and its hits, each with `found` in place of the hits; bounded pieces of a batch."""
+    """Rows of a key and `found`, from rows of a key and a hit in which the hits of a key follow each other."""
+
+    def settled(hits: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        keys = hits.select(hits.schema.names[: -len(_SETTLED_BY)]).take(pa.array(starts))
+        return pa.RecordBatch.from_arrays(
+            [*keys.columns, _settled(hits, starts)], names=[*keys.schema.names, "found"]
+        )
+
+    waiting, rows, enough = [], 0, HITS_AT_ONCE
     for batch in batches:
-        ends = np.cumsum(batch.column("hits").value_lengths().to_numpy())
-        at = 0
-        while at < len(batch):
-            before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + HITS_AT_ONCE, "right")))
-            part = batch.slice(at, to - at)
-            columns = [*part.columns[:-1], _settled(part.column("hits"))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "found"])
-            at = to
+        waiting.append(batch)
+        rows += len(batch)
+        if rows < enough:
+            continue
+        hits = pa.concat_batches(waiting)
+        starts = _starts(hits.columns[: -len(_SETTLED_BY)])
+        # The last text may go on in the next batch.
+        last = int(starts[-1])
+        if last:
+            yield settled(hits.slice(0, last), starts[:-1])
+        waiting, rows = [hits.slice(last)], len(hits) - last
+        enough = max(HITS_AT_ONCE, 2 * rows)
+    if rows:
+        hits = pa.concat_batches(waiting)
+        yield settled(hits, _starts(hits.columns[: -len(_SETTLED_BY)]))
 
 
 def _found(texts: DataFrame, lexicon: DataFrame, key: list[str], text: str, ignore) -> DataFrame:
-    """Rows `(*key, found)`: the `(skill, n)` of each text that has any."""
+    """Rows `(*key, found)`: the `(skill, n)` of each text that has any, ascending by skill."""
     phrases = cut(_phrases(lexicon, list(ignore)))
-    pieces = texts.select(*key, _pieces(normalise(F.col(text))).alias("p"))
     small = measured_bytes(phrases) <= BROADCAST_BYTES
     word = f"[{WORD_CLASS}]$"
+    texts = texts.select(*key, F.col(text).alias("_text"))
+    if small:
+        # Neither explodes nor broadcast joins change the order, so the hits of a key follow each other.
+        texts = texts.repartition(*key).sortWithinPartitions(*key)
+    pieces = texts.select(*key, normalise(F.col("_text")).alias("_text")).select(
+        *key, _pieces(F.col("_text")).alias("p")
+    )
     hits = (
         (_hits_in_place if small else _hits_shuffled)(pieces, key, phrases)
         .where(~F.col("symbol_first") | F.coalesce(F.col("before").rlike(word), F.lit(False)))
         .where(~F.col("symbol_last") | F.coalesce(F.col("after").rlike(word), F.lit(False)))
-        .select(*key, "start", "n", "length", "ord", "skill")
+        .withColumn("rank", -F.col("length"))
+        .select(*key, *_SETTLED_BY)
     )
-    hit = F.struct("start", "n", (-F.col("length")).alias("rank"), "ord", "skill")
-    grouped = hits.groupBy(*key).agg(F.collect_list(hit).alias("hits"))
-    return grouped.mapInArrow(_settle, T.StructType([*grouped.schema.fields[:-1], _FOUND]))
+    if not small:
+        hits = hits.repartition(*key).sortWithinPartitions(*key)
+    return hits.mapInArrow(_settle, T.StructType([*hits.schema.fields[: len(key)], _FOUND]))
 
 
 def match_skills(
@@ -255,5 +297,5 @@ def with_skills(
 ) -> DataFrame:
     """Texts in which at least one skill was found, with their skill array."""
     repeated = F.transform("found", lambda f: F.array_repeat(f["skill"], f["n"].cast("int")))
-    bags = _found(texts, lexicon, key, text, ignore).select(*key, F.sort_array(F.flatten(repeated)).alias("skills"))
+    bags = _found(texts, lexicon, key, text, ignore).select(*key, F.flatten(repeated).alias("skills"))
     return texts.join(bags, key)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,51 @@ def test_hits_are_neither_windowed_nor_folded(spark):
     found = E.match_skills(frame, lexicon_of(spark, ["SQL", "SQL Server", "Java"]), ["id"])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "aggregate(" not in plan
+
+
+def test_hits_stay_in_the_task_that_finds_them(spark):
+    """Only texts are dealt out by key; hits are neither gathered as lists nor sorted nor sent."""
+    frame = spark.createDataFrame([(1, "sql and sql server and java")], "id int, text string")
+    found = E.match_skills(frame, lexicon_of(spark, ["SQL", "SQL Server", "Java"]), ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    above = plan[: plan.index("BroadcastHashJoin")]
+    assert "Exchange" not in above and "Sort" not in above
+
+
+def test_pieces_are_runs_of_word_characters_and_single_others(spark):
+    odd = ["", " ", "a", ".", "a.b  c", "..a", "a..", "c++\0x", "\0", "é-ß", "𠀀𠀁 😀😀a", "$1\\0 \\E[x]", "a\nb\r\n\tc", "a_1,", None]
+    frame = spark.createDataFrame([(t,) for t in odd], "t string")
+    rows = frame.select(
+        F.col("t"), E._pieces(F.col("t")).alias("p"), F.regexp_extract_all("t", F.lit(E._PIECE), 1).alias("want")
+    ).collect()
+    # An empty text may be one empty piece.
+    assert [r.p for r in rows if r.t != ""] == [r.want for r in rows if r.t != ""]
+
+
+def test_rows_of_one_key_are_one_text(spark, both_joins):
+    lex = lexicon_of(spark, ["a b", "b", "c"])
+    rows = [(i % 3, "a b c " * (i % 3 + 1)) for i in range(12)] + [(None, "b"), (None, "b c")]
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(7)
+    got = {(r.id, r.skill): r.n for r in E.match_skills(frame, lex, ["id"]).collect()}
+    want = {(i, s): i + 1 for i in range(3) for s in ("a b", "c")}
+    assert got == want | {(None, "b"): 1, (None, "c"): 1}
+    assert E.with_skills(frame, lex, ["id"]).count() == 12
+
+
+def test_texts_are_settled_alike_however_batches_fall(monkeypatch):
+    rng = random.Random(5)
+    hits = []
+    for key in [*range(40), None]:
+        for start in range(rng.randint(1, 30)):
+            for n in rng.sample([1, 2, 3], rng.randint(1, 2)):
+                hits.append((key, start, n, -n, rng.choice([None, 1, 2]), f"s{start % 4}{n}"))
+    names = ["id", *E._SETTLED_BY]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*hits), kinds)], names=names)
+    want = pa.Table.from_batches(E._settle([whole])).to_pylist()
+    assert [r["id"] for r in want] == [*range(40), None]
+    for at_once, size in ((1, 1), (5, 3), (64, 7), (1000, 50)):
+        monkeypatch.setattr(E, "HITS_AT_ONCE", at_once)
+        parts = [whole.slice(i, size) for i in range(0, len(whole), size)]
+        assert pa.Table.from_batches(E._settle([parts[0].slice(0, 0), *parts])).to_pylist() == want
